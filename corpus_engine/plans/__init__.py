@@ -1,0 +1,8 @@
+"""All registered queries."""
+
+from importlib import import_module
+
+GROUPS = ["catalog", "records"]
+
+for _group in GROUPS:
+    import_module(f"corpus_engine.plans.{_group}")

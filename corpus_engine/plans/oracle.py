@@ -67,7 +67,7 @@ CTES = {
                     ELSE 'Se cita ' || string_split(name, ' ')[-1] || ' en el texto.' END AS context,
                CASE WHEN p_partkey % 5 = 0 THEN 'N/A' WHEN p_partkey % 5 <> 1 THEN p_brand END AS estado,
                CASE WHEN p_partkey % 6 = 0 THEN 'n/a' WHEN p_partkey % 6 <> 1 THEN 'México' END AS pais,
-               CASE WHEN p_partkey % 9 <> 0 THEN [p_size::DOUBLE, round(p_retailprice / 100, 2)] END
+               CASE WHEN p_partkey % 9 <> 0 THEN [p_size::DOUBLE, p_retailprice / 100] END
                  AS coordenadas
         FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'Museo ' || tc WHEN p_partkey % 13 = 0 THEN tc || ' 7'
                              ELSE tc END AS name

@@ -22,6 +22,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """Columns of a table that costly column work follows on.
+
+    A file too small to be split would leave that work to one task, so its rows are dealt out to
+    the cores; an input that already comes in enough partitions is not moved.
+    """
+    df = load(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(options: list[str], index: Column) -> Column:
     """The option at ``index`` (0-based) of a literal list."""
     return F.element_at(F.array(*[F.lit(o) for o in options]), (index + 1).cast("int"))
@@ -83,7 +94,8 @@ def context_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text", F.col("lang").alias("language"))
+    docs = load_spread(spark, d, "documents", ["doc_id", "text", "lang"])
+    docs = docs.select(F.col("doc_id").alias("file_id"), "text", F.col("lang").alias("language"))
     return fixed_windows(docs, "text", keep=["file_id", "language"])
 
 
@@ -112,7 +124,8 @@ def order_docs(spark: SparkSession, d: str) -> DataFrame:
 
     The record sits at line grain so that no order, however large, is gathered into one value.
     """
-    lines = load(spark, d, "lineitem").join(
+    used = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_returnflag l_linestatus".split()
+    lines = load_spread(spark, d, "lineitem", used).join(
         load(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"
     )
     lines = lines.join(load(spark, d, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
@@ -199,7 +212,7 @@ def model_entities(spark: SparkSession, d: str) -> DataFrame:
         context.alias("context"),
         F.when(k % 5 == 0, "N/A").when(k % 5 != 1, F.col("p_brand")).alias("estado"),
         F.when(k % 6 == 0, "n/a").when(k % 6 != 1, F.lit("México")).alias("pais"),
-        F.when(k % 9 != 0, F.array(F.col("p_size").cast("double"), F.round(F.col("p_retailprice") / 100, 2))).alias(
+        F.when(k % 9 != 0, F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100)).alias(
             "coordenadas"
         ),
     )
