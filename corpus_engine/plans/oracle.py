@@ -33,6 +33,13 @@ CTES = {
     "chunk_vectors": """
         SELECT vec_id AS file_id, embedding::DOUBLE[] AS embedding, lang AS language
         FROM embeddings JOIN documents ON vec_id = doc_id""",
+    "chunk_store": """
+        SELECT c.*, e.embedding::DOUBLE[] AS embedding FROM chunks c
+        JOIN embeddings e ON e.vec_id = (c.file_id * 31 + c.chunk_index) % (SELECT count(*) FROM embeddings)""",
+    "report_questions": """
+        SELECT o_orderkey AS report_id, ['es', 'en', 'fr', 'de'][o_orderkey % 4 + 1] AS qlang,
+               embedding::DOUBLE[] AS qvec
+        FROM orders JOIN embeddings ON vec_id = o_orderkey % (SELECT count(*) FROM embeddings)""",
     "context_questions": """
         SELECT c_custkey AS qid, ['es', 'en', 'fr', 'de'][c_custkey % 4 + 1] AS qlang,
                embedding::DOUBLE[] AS qvec

@@ -332,8 +332,8 @@ def a4(spark, d):
 TERMS = ["household", "red widget"]
 FOUND = f"""
     SELECT DISTINCT path, type FROM
-      (SELECT DISTINCT path, type, text FROM node_rows) t
-    WHERE {sql_resembles(sql_trigrams("text"), TERMS)}
+      (SELECT *, {sql_trigrams("text")} AS g FROM (SELECT DISTINCT path, type, text FROM node_rows)) t
+    WHERE {sql_resembles("g", TERMS)}
        OR (type = 'number' AND regexp_matches(text, '\\b1997\\b'))"""
 
 

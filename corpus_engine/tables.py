@@ -108,15 +108,33 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def context_questions(spark: SparkSession, d: str) -> DataFrame:
-    """One question vector per context, its language by ``context_id % 4``."""
+def chunk_store(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with a vector: the fact table of a search."""
     emb = load(spark, d, "embeddings")
-    asked = contexts(spark, d).select(
-        F.col("context_id").alias("qid"),
-        (F.col("context_id") % row_count(emb)).alias("vec_id"),
-        pick(["es", "en", "fr", "de"], F.col("context_id") % 4).alias("qlang"),
+    cut = chunks(spark, d)
+    vec_id = (F.col("file_id") * 31 + F.col("chunk_index")) % row_count(emb)
+    return cut.withColumn("vec_id", vec_id).join(emb.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
+def question_vectors(asked: DataFrame, emb: DataFrame) -> DataFrame:
+    """A vector and a language (by ``qid % 4``) for every question id."""
+    placed = asked.select(
+        "qid",
+        (F.col("qid") % row_count(emb)).alias("vec_id"),
+        pick(["es", "en", "fr", "de"], F.col("qid") % 4).alias("qlang"),
     )
-    return asked.join(emb.select("vec_id", F.col("embedding").alias("qvec")), "vec_id").drop("vec_id")
+    return placed.join(emb.select("vec_id", F.col("embedding").alias("qvec")), "vec_id").drop("vec_id")
+
+
+def report_questions(spark: SparkSession, d: str) -> DataFrame:
+    asked = load(spark, d, "orders").select(F.col("o_orderkey").alias("qid"))
+    return question_vectors(asked, load(spark, d, "embeddings"))
+
+
+def context_questions(spark: SparkSession, d: str) -> DataFrame:
+    """One question per context."""
+    asked = load(spark, d, "customer").select(F.col("c_custkey").alias("qid"))
+    return question_vectors(asked, load(spark, d, "embeddings"))
 
 
 def order_docs(spark: SparkSession, d: str) -> DataFrame:
