@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +37,149 @@ def fixed_windows(
     cut = F.posexplode(window_array(F.col(text), size, overlap)).alias("chunk_index", "text")
     out = df.select(*keep, cut)
     return out.withColumn("n_chars", F.length("text"))
+
+
+# Separators from coarse to fine, for the plain and the adaptive splitter.
+PLAIN_SEPARATORS = ["\n\n", "\n", " ", ""]
+ADAPTIVE_SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
+
+# Base, smallest and largest chunk size by language.
+SIZES = {"es": (512, 200, 800), "en": (600, 250, 900), "fr": (480, 180, 750)}
+DEFAULT_SIZES = (512, 200, 800)
+BASE_OVERLAP = 50
+SHORTEST = 50
+
+
+def adaptive_size(n_chars: Column, language: Column) -> tuple[Column, Column]:
+    """Chunk size and overlap for a text of this length and language."""
+
+    def by_language(i: int) -> Column:
+        out = F.lit(DEFAULT_SIZES[i])
+        for code, sizes in SIZES.items():
+            out = F.when(language == code, sizes[i]).otherwise(out)
+        return out
+
+    base, smallest, largest = (by_language(i) for i in range(3))
+    size = (
+        F.when(n_chars < 1000, F.greatest(smallest, F.floor(n_chars / 2)))
+        .when(n_chars < 5000, base)
+        .when(n_chars < 20000, F.least(largest, base + 100))
+        .otherwise(largest)
+        .cast("int")
+    )
+    overlap = (
+        F.when(n_chars < 1000, F.least(F.lit(50), F.floor(size / 4)))
+        .when(n_chars < 5000, F.lit(BASE_OVERLAP))
+        .when(n_chars < 20000, F.greatest(F.lit(BASE_OVERLAP), F.floor(size / 8)))
+        .otherwise(F.greatest(F.lit(100), F.floor(size / 6)))
+        .cast("int")
+    )
+    return size, overlap
+
+
+def cut_keeping(text: str, separator: str) -> list[str]:
+    """Parts of ``text`` that each start with the separator, but for the first."""
+    if not separator:
+        return list(text)
+    head, *rest = text.split(separator)
+    return [p for p in [head, *(separator + r for r in rest)] if p]
+
+
+def runs(text: str, size: int, separators: list[str]) -> Iterator[list[str]]:
+    """Runs of neighbouring parts shorter than ``size``; longer parts are cut by finer separators."""
+    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+    finer = separators[at + 1 :]
+    run: list[str] = []
+    for part in cut_keeping(text, separators[at]):
+        if len(part) < size or not finer:
+            run.append(part)
+            continue
+        if run:
+            yield run
+            run = []
+        yield from runs(part, size, finer)
+    if run:
+        yield run
+
+
+def pack(run: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Joins the parts of a run up to ``size``, carrying at most ``overlap`` into the next chunk."""
+    held: deque[str] = deque()
+    total = 0
+    for part in run:
+        if held and total + len(part) > size:
+            yield "".join(held).strip()
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.popleft())
+        held.append(part)
+        total += len(part)
+    yield "".join(held).strip()
+
+
+def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+    if not text:
+        return []
+    return [c for run in runs(text, size, separators) for c in pack(run, size, overlap) if c]
+
+
+def separator_chunks(text: Column, size: Column, overlap: Column, separators: list[str]) -> Column:
+    """Chunks cut at the coarsest separators that fit, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
+        return pd.Series(
+            [split_text(t or "", int(s), int(o), separators) for t, s, o in zip(texts, sizes, overlaps)], dtype=object
+        )
+
+    return split(text, size, overlap)
+
+
+def merge_short(pieces: Column, size: Column, shortest: int = SHORTEST) -> Column:
+    """Pieces under ``shortest`` join the one before if both fit in ``size``, else they are dropped."""
+
+    def step(done: Column, piece: Column) -> Column:
+        last = F.element_at(done, -1)
+        fits = (F.size(done) > 0) & (F.length(last) + F.length(piece) < size)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(" "), piece)))
+        short = F.length(piece) < shortest
+        return F.when(~short, F.concat(done, F.array(piece))).when(fits, joined).otherwise(done)
+
+    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+
+
+def split_sentences(piece: Column, size: Column) -> Column:
+    """Sentences packed up to ``size`` each; their end marks are kept."""
+    sentences = F.regexp_extract_all(piece, F.lit(r"(?s)\S.*?(?:[.!?](?=\s)|$)"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+
+    def step(acc: Column, sentence: Column) -> Column:
+        joined = F.when(acc["held"] == "", sentence).otherwise(F.concat(acc["held"], F.lit(" "), sentence))
+        full = (acc["held"] != "") & (F.length(joined) > size)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, sentence).otherwise(joined).alias("held"),
+        )
+
+    def close(acc: Column) -> Column:
+        return F.when(acc["held"] != "", F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
+
+    return F.aggregate(sentences, start, step, close)
+
+
+def split_long(pieces: Column, size: Column) -> Column:
+    """Pieces over one and a half times ``size`` cut at sentence ends."""
+    return F.flatten(
+        F.transform(
+            pieces, lambda p: F.when(F.length(p) > size * 1.5, split_sentences(p, size)).otherwise(F.array(p))
+        )
+    )
+
+
+def adaptive_chunks(df: DataFrame, text: str, language: str, keep: list[str]) -> DataFrame:
+    """One row per chunk of the adaptive splitter, with size, overlap and 0-based ``chunk_index``."""
+    size, overlap = adaptive_size(F.length(text), F.col(language))
+    sized = df.withColumn("size", size).withColumn("overlap", overlap)
+    pieces = separator_chunks(F.col(text), F.col("size"), F.col("overlap"), ADAPTIVE_SEPARATORS)
+    cut = sized.withColumn("pieces", pieces)
+    kept = split_long(merge_short(F.col("pieces"), F.col("size")), F.col("size"))
+    return cut.select(*keep, "size", "overlap", F.posexplode(kept).alias("chunk_index", "text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_engine.functions.text import NO_VALUE, clean_value, label
+from corpus_engine.functions.text import NO_VALUE, bind, clean_value, label
 
 LEAF = "array<struct<path: string, key: string, type: string, value: string>>"
 
@@ -62,11 +62,6 @@ def leaves(record: Column, schema: T.StructType | str, legacy: bool = False) ->
     return visit(record, schema, None, None)
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def keys_and_types(leaf: Column) -> Column:
     """Distinct keys with their type; the first leaf of a key decides."""
     pairs = F.array_distinct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ MAX_VALUE_CHARS = 5000
 SPACES = r"(?U)\s+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -85,10 +91,14 @@ def literal_trigrams(term: str) -> list[str]:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all distinct trigrams of two texts."""
-    ga, gb = trigrams(a), trigrams(b)
-    shared = F.size(F.array_intersect(ga, gb))
-    total = F.size(ga) + F.size(gb) - shared
-    return F.when(total > 0, shared / total).otherwise(0.0)
+
+
+    def score(grams: Column) -> Column:
+        shared = F.size(F.array_intersect(grams["a"], grams["b"]))
+        total = F.size(grams["a"]) + F.size(grams["b"]) - shared
+        return F.when(total > 0, shared / total).otherwise(0.0)
+
+    return bind(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b")), score)
 
 
 def resembles_any(c: Column, terms: list[str], threshold: float = 0.3) -> Column:
@@ -106,8 +116,7 @@ def resembles_any(c: Column, terms: list[str], threshold: float = 0.3) -> Column
                 hit = hit | (shared >= threshold * (F.size(grams) + F.lit(len(wanted)) - shared))
         return hit
 
-    # The one-element array binds the trigrams to a name, so no term computes them again.
-    return F.coalesce(F.exists(F.array(trigrams(c)), test), F.lit(False))
+    return F.coalesce(bind(trigrams(c), test), F.lit(False))
 
 
 def token_estimate(c: Column) -> Column:
