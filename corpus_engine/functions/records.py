@@ -157,6 +157,15 @@ def walk(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> Dat
     return out.select(*keep, checked.alias("path"), "value")
 
 
+def parse_whole(text: Column) -> Column:
+    """Variant of a text that is one JSON value; null for any other, also for one with a tail.
+
+    The parser stops at the end of the first value, so the text is read as the only element of a list.
+    """
+    listed = elements(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return bind(listed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+
+
 def at_path(v: Column, json_path: list[str], dtype: str = "string") -> Column:
     """Value at a key path, null when it is missing or does not fit ``dtype``."""
     return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in json_path), dtype)
@@ -169,7 +178,7 @@ def is_string_at(v: Column, json_path: list[str]) -> Column:
 def canonical_json(c: Column) -> Column:
     """Compact form of a text that holds a JSON object or array; any other text as it is."""
     looks = c.startswith("{") | c.startswith("[")
-    return F.coalesce(F.when(looks, F.to_json(F.try_parse_json(c))), c)
+    return F.coalesce(F.when(looks, F.to_json(parse_whole(c))), c)
 
 
 def serialized(values: list[Column]) -> Column:
