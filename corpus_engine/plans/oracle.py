@@ -99,7 +99,7 @@ CTES = {
               WHEN 2 THEN day(o_orderdate) || '-' || month(o_orderdate) || '-' || year(o_orderdate)
               ELSE 'año ' || year(o_orderdate) END END AS model_date,
           CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' Autor ' || source END AS file_creator,
-          CASE doc_id % 4 WHEN 0 THEN 'Autor: Ana ' || source
+          CASE doc_id % 4 WHEN 0 THEN 'Firmado por: Ana ' || source
             WHEN 1 THEN 'Luis Pérez, María López y Luis Pérez'
             WHEN 2 THEN 'sin firma de nadie conocido' END AS model_creator,
           CASE WHEN doc_id % 5 = 0 THEN 'Agua; suelo, AGUA' END AS file_keywords,

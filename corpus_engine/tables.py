@@ -274,7 +274,7 @@ def model_metadata(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 2 == 0, F.concat(F.lit("D:"), F.date_format(day, "yyyyMMdd"), F.lit("120000Z"))).alias("file_date"),
         F.when(k % 7 != 0, dates).alias("model_date"),
         F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" Autor "), "source")).alias("file_creator"),
-        F.when(k % 4 == 0, F.concat(F.lit("Autor: Ana "), "source"))
+        F.when(k % 4 == 0, F.concat(F.lit("Firmado por: Ana "), "source"))
         .when(k % 4 == 1, F.lit("Luis Pérez, María López y Luis Pérez"))
         .when(k % 4 == 2, F.lit("sin firma de nadie conocido"))
         .alias("model_creator"),
