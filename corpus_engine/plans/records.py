@@ -99,14 +99,13 @@ def x1(spark, d):
 
 @query(
     "x2_keys_and_types",
-    f"""SELECT {ID_SQL}, key, arg_min(type, ord) AS type FROM leaf_rows
-        GROUP BY {ID_SQL}, key, hash(ord >= 11 AND FALSE)""",
+    f"""SELECT {ID_SQL}, key, type FROM leaf_rows
+        WHERE path NOT LIKE 'partidas.1%' AND path <> 'etiquetas.1'""",
     LINE_CTES,
 )
 def x2(spark, d):
     leaf = R.leaves(F.col("rec"), T.ORDER_DOC_SCHEMA)
-    one = records(spark, d).dropDuplicates(ID).select(*ID, R.keys_and_types(leaf).alias("kt"))
-    return one.select(*ID, F.inline("kt"))
+    return records(spark, d).select(*ID, R.keys_and_types(leaf).alias("kt")).select(*ID, F.inline("kt"))
 
 
 @query(
@@ -292,6 +291,24 @@ def j9(spark, d):
     return nodes.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(scalar).alias("chars"))
 
 
+@query(
+    "u2_walk_branches",
+    """SELECT path, type, count(*) AS n FROM node_rows
+       WHERE path LIKE 'cliente.%' OR (path = 'partidas' AND type = 'object') OR (path = 'etiquetas' AND type = 'string')
+       GROUP BY path, type""",
+    LINE_CTES,
+)
+def u2(spark, d):
+    """One step of the walk: members of objects with their key, elements of lists without one."""
+    top = R.object_entries(variants(spark, d), "v", [])
+    path = F.col("key").alias("path")
+    inner = top.select(path, F.explode(R.members(F.col("value"))).alias("name", "value"))
+    objects = inner.select(F.concat("path", F.lit("."), "name").alias("path"), "value")
+    lists = top.select(path, F.explode(R.elements(F.col("value"))).alias("value"))
+    nodes = objects.unionByName(lists).withColumn("type", R.variant_type(F.col("value")))
+    return nodes.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "a3_key_catalog",
     """SELECT path AS key, type, count(*) AS count FROM node_rows

@@ -119,8 +119,8 @@ def j11_cells(spark, d):
 )
 def w2(spark, d):
     questions, store = T.context_questions(spark, d), T.chunk_store(spark, d)
-    found = R.candidates(questions, scope_of(T.context_files(spark, d), "context_id"), store)
-    hits = R.top_k(R.with_distance(found, questions, store), 5)
+    found = R.scored(questions, scope_of(T.context_files(spark, d), "context_id"), store)
+    hits = R.top_k(found, 5)
     return rounded(hits.select("qid", "file_id", "chunk_index", "rank", "distance"), "distance")
 
 
@@ -133,8 +133,8 @@ def w2(spark, d):
 )
 def w3(spark, d):
     questions, store = T.context_questions(spark, d), T.chunk_store(spark, d)
-    found = R.candidates(questions, scope_of(T.context_files(spark, d), "context_id"), store)
-    hits = R.top_k(R.with_distance(found, questions, store), 3, ["qid", "file_id"], "place")
+    found = R.scored(questions, scope_of(T.context_files(spark, d), "context_id"), store)
+    hits = R.top_k(found, 3, ["qid", "file_id"], "place")
     return hits.select("qid", "file_id", "chunk_index", "place")
 
 
@@ -145,7 +145,9 @@ def w3(spark, d):
 )
 def w6(spark, d):
     scope = scope_of(T.context_files(spark, d), "context_id")
-    return R.prefer_language(R.candidates(T.context_questions(spark, d), scope, T.chunk_store(spark, d)))
+    store = T.chunk_store(spark, d).select("file_id", "chunk_index", "language")
+    questions = T.context_questions(spark, d).select("qid", "qlang")
+    return R.in_scope(R.with_preference(questions, scope, store), scope, store)
 
 
 QUESTION = [0.125] * 64
@@ -181,8 +183,8 @@ def t2(spark, d):
 )
 def p10(spark, d):
     questions, store = T.context_questions(spark, d), T.chunk_store(spark, d)
-    found = R.candidates(questions, scope_of(T.context_files(spark, d), "context_id"), store)
-    hits = R.with_distance(found, questions, store).withColumn("similarity", V.similarity(F.col("distance")))
+    found = R.scored(questions, scope_of(T.context_files(spark, d), "context_id"), store)
+    hits = found.withColumn("similarity", V.similarity(F.col("distance")))
     hits = hits.filter(F.col("similarity") > 0.3)
     return rounded(hits.select("qid", "file_id", "chunk_index", "similarity"), "similarity")
 
