@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_engine.functions.text import NO_VALUE, bind, clean_value, label
 
-LEAF = "array<struct<path: string, key: string, type: string, value: string>>"
+LEAF = "struct<path: string, key: string, type: string, value: string>"
 
 
 def leaf_type(dtype: T.DataType, legacy: bool) -> str:
@@ -22,44 +25,69 @@ def leaf_type(dtype: T.DataType, legacy: bool) -> str:
     return "unknown" if legacy else "number"
 
 
-def leaves(record: Column, schema: T.StructType | str, legacy: bool = False) -> Column:
-    """Leaves of a record of known schema, in record order.
+class Path(NamedTuple):
+    """Where a leaf is: with positions, with ``array`` in their place, and as a label."""
 
-    ``path`` has list positions as segments, ``key`` has ``array`` in their place. Empty lists and
-    records give nothing; a missing value keeps its leaf, of type ``null`` (``unknown`` in legacy).
-    """
+    path: Column
+    key: Column
+    label: Column
+
+
+def member(at: Path | None, name: str) -> Path:
+    spaced = name.replace("_", " ")
+    if at is None:
+        return Path(F.lit(name), F.lit(name), F.lit(spaced.capitalize()))
+    tail = F.lit(f".{name}")
+    return Path(F.concat(at.path, tail), F.concat(at.key, tail), F.concat(at.label, F.lit(f".{spaced.lower()}")))
+
+
+def element(at: Path, i: Column) -> Path:
+    place = F.concat(F.lit("."), i.cast("string"))
+    return Path(F.concat(at.path, place), F.concat(at.key, F.lit(".array")), F.concat(at.label, place))
+
+
+def each_leaf(
+    record: Column,
+    schema: T.StructType | str,
+    make: Callable[[Path, T.DataType, Column], Column],
+    kind: str,
+) -> Column:
+    """``make`` applied to every leaf of a record of known schema, in record order, as ``array<kind>``."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    empty = F.array().cast(LEAF)
+    empty = F.array().cast(f"array<{kind}>")
 
-    def visit(value: Column, dtype: T.DataType, path: Column, key: Column) -> Column:
+    def visit(value: Column, dtype: T.DataType, at: Path | None) -> Column:
         if isinstance(dtype, T.StructType):
-            parts = [
-                visit(
-                    value.getField(f.name),
-                    f.dataType,
-                    F.concat(path, F.lit(f".{f.name}")) if path is not None else F.lit(f.name),
-                    F.concat(key, F.lit(f".{f.name}")) if key is not None else F.lit(f.name),
-                )
-                for f in dtype.fields
-            ]
-            return F.concat(*parts)
+            below = [visit(value.getField(f.name), f.dataType, member(at, f.name)) for f in dtype.fields]
+            return F.concat(*below)
         if isinstance(dtype, T.ArrayType):
-            inner = F.transform(
-                value,
-                lambda x, i: visit(
-                    x, dtype.elementType, F.concat(path, F.lit("."), i.cast("string")), F.concat(key, F.lit(".array"))
-                ),
-            )
+            inner = F.transform(value, lambda x, i: visit(x, dtype.elementType, element(at, i)))
             return F.coalesce(F.flatten(inner), empty)
-        text = value.cast("string")
-        if isinstance(dtype, T.BooleanType):
-            text = F.initcap(text)
-        missing = "unknown" if legacy else "null"
+        return F.array(make(at, dtype, value))
+
+    return visit(record, schema, None)
+
+
+def leaf_text_value(value: Column, dtype: T.DataType) -> Column:
+    text = value.cast("string")
+    return F.initcap(text) if isinstance(dtype, T.BooleanType) else text
+
+
+def leaves(record: Column, schema: T.StructType | str, legacy: bool = False) -> Column:
+    """Leaves of a record of known schema, in record order.
+
+    ``path`` has list positions as segments, ``key`` has ``array`` in their place. Empty lists and
+    records give nothing; a missing value keeps its leaf, of type ``null`` (``unknown`` in legacy).
+    """
+    missing = "unknown" if legacy else "null"
+
+    def make(at: Path, dtype: T.DataType, value: Column) -> Column:
         kind = F.when(value.isNull(), missing).otherwise(leaf_type(dtype, legacy))
-        return F.array(F.struct(path.alias("path"), key.alias("key"), kind.alias("type"), text.alias("value")))
+        text = leaf_text_value(value, dtype)
+        return F.struct(at.path.alias("path"), at.key.alias("key"), kind.alias("type"), text.alias("value"))
 
-    return visit(record, schema, None, None)
+    return each_leaf(record, schema, make, LEAF)
 
 
 def keys_and_types(leaf: Column) -> Column:
@@ -83,11 +111,20 @@ def clean_leaves(leaf: Column) -> Column:
     return F.filter(cleaned, lambda e: e["value"] != NO_VALUE)
 
 
-def record_text(leaf: Column) -> Column:
-    """``Label: value`` lines of a record, empty leaves left out."""
-    return F.array_join(
-        F.transform(clean_leaves(leaf), lambda e: F.concat(label(e["path"]), F.lit(": "), e["value"])), "\n"
-    )
+def record_text(record: Column, schema: T.StructType | str) -> Column:
+    """``Label: value`` lines of a record, empty leaves left out.
+
+    Labels come from the schema; only texts need cleaning, numbers are written as they are.
+    """
+
+    def make(at: Path, dtype: T.DataType, value: Column) -> Column:
+        text = leaf_text_value(value, dtype)
+        if isinstance(dtype, T.StringType):
+            text = F.nullif(clean_value(value), F.lit(NO_VALUE))
+        return F.concat(at.label, F.lit(": "), text)
+
+    lines = each_leaf(record, schema, make, "string")
+    return F.array_join(F.array_compact(lines), "\n")
 
 
 def row_text(columns: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -101,10 +102,34 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return bind(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b")), score)
 
 
+def gram_pattern(gram: str) -> str:
+    """Regular expression for a trigram inside lower-case text; its spaces stand for word ends."""
+    inside = r"[\p{L}\p{N}]"
+    bare = re.escape(gram.strip())
+    before = f"(?<!{inside})" if gram.startswith(" ") else ""
+    after = f"(?!{inside})" if gram.endswith(" ") else ""
+    return before + bare + after
+
+
+def necessary_pattern(terms: list[str], threshold: float) -> str:
+    """Pattern that every text similar enough to some term matches.
+
+    A similar text shares at least ``threshold`` of the term's trigrams. With all but one of that
+    many left out - word starts first, they are the commonest - one of the others must occur.
+    """
+    kept = []
+    for term in terms:
+        grams = sorted(literal_trigrams(term), key=lambda g: (len(g.strip()), -g.count(" ")))
+        needed = math.ceil(round(threshold * len(grams), 9))
+        kept += grams[max(0, needed - 1) :]
+    return "|".join(gram_pattern(g) for g in sorted(set(kept)))
+
+
 def resembles_any(c: Column, terms: list[str], threshold: float = 0.3) -> Column:
     """Trigram similarity with some term reaches ``threshold`` (inclusive).
 
-    The terms are literals: their trigrams are computed once, the text's once per row.
+    The terms are literals: their trigrams are computed once. A text's trigrams are computed only
+    if it matches the pattern that every similar text matches.
     """
 
     def test(grams: Column) -> Column:
@@ -116,7 +141,11 @@ def resembles_any(c: Column, terms: list[str], threshold: float = 0.3) -> Column
                 hit = hit | (shared >= threshold * (F.size(grams) + F.lit(len(wanted)) - shared))
         return hit
 
-    return F.coalesce(bind(trigrams(c), test), F.lit(False))
+    pattern = necessary_pattern(terms, threshold)
+    if not pattern:
+        return F.lit(False)
+    similar = F.when(F.lower(c).rlike(pattern), bind(trigrams(c), test))
+    return F.coalesce(similar, F.lit(False))
 
 
 def token_estimate(c: Column) -> Column:

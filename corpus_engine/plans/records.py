@@ -151,7 +151,7 @@ def x4(spark, d):
         FROM order_lines""",
 )
 def x5(spark, d):
-    text = R.record_text(R.leaves(F.col("rec"), T.ORDER_DOC_SCHEMA))
+    text = R.record_text(F.col("rec"), T.ORDER_DOC_SCHEMA)
     return records(spark, d).select(*ID, text.alias("text"))
 
 
