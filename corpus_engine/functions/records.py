@@ -133,17 +133,14 @@ def row_text(columns: list[str]) -> Column:
     return F.array_join(F.array(*lines), "\n")
 
 
+# JSON type names by the start of a variant's schema; every other schema is a number.
+JSON_TYPES = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
 def variant_type(v: Column) -> Column:
     """One of string, number, boolean, array, object, null."""
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-        .otherwise("number")
-    )
+    names = F.create_map(*[F.lit(x) for pair in JSON_TYPES.items() for x in pair])
+    return F.coalesce(F.element_at(names, F.substring_index(F.schema_of_variant(v), "<", 1)), F.lit("number"))
 
 
 def members(v: Column) -> Column:

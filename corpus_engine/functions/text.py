@@ -42,9 +42,13 @@ def cap(c: Column, n: int) -> Column:
 
 def clean_value(c: Column) -> Column:
     """One-line text of a value; ``(sin valor)`` for what means nothing."""
-    flat = collapse(c.cast("string"))
-    cut = F.when(F.length(flat) > MAX_VALUE_CHARS, F.concat(cap(flat, MAX_VALUE_CHARS), F.lit("..."))).otherwise(flat)
-    return F.when(c.isNull() | F.lower(flat).isin(NULL_LIKE), NO_VALUE).otherwise(cut)
+
+    def cleaned(flat: Column) -> Column:
+        long = F.length(flat) > MAX_VALUE_CHARS
+        cut = F.when(long, F.concat(cap(flat, MAX_VALUE_CHARS), F.lit("..."))).otherwise(flat)
+        return F.when(F.lower(flat).isin(NULL_LIKE), NO_VALUE).otherwise(cut)
+
+    return F.coalesce(bind(collapse(c.cast("string")), cleaned), F.lit(NO_VALUE))
 
 
 def drop_no_value(values: Column) -> Column:

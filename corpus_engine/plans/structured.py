@@ -58,7 +58,7 @@ def matching(spark, d):
     f"SELECT {ID_SQL}, anio FROM order_lines WHERE anio BETWEEN 1996 AND 1998",
 )
 def p11(spark, d):
-    rows = variants(spark, d).filter(S.some_leaf(F.col("v"), "anio", S.in_year_range(1996, 1998)))
+    rows = S.where(variants(spark, d), "v", lambda v: S.some_leaf(v, "anio", S.in_year_range(1996, 1998)))
     return rows.select(*ID, F.variant_get("v", "$.anio", "int").alias("anio"))
 
 
@@ -121,7 +121,7 @@ def p15(spark, d):
     LIKE_CTES,
 )
 def j7(spark, d):
-    rows = variants(spark, d).filter(S.some_leaf(F.col("v"), "partidas[].articulo", S.resembles(TERMS)))
+    rows = S.where(variants(spark, d), "v", lambda v: S.some_leaf(v, "partidas[].articulo", S.resembles(TERMS)))
     return rows.select(*ID)
 
 

@@ -315,7 +315,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("Muchas gracias!")))
     )
-    orders = load(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    orders = load_spread(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    orders = orders.withColumnRenamed("o_custkey", "c_custkey")
     return orders.join(load(spark, d, "customer"), "c_custkey").select(k.alias("qid"), text.alias("text"))
 
 
