@@ -186,4 +186,5 @@ def edit_membership(context_files: DataFrame, add: DataFrame, remove: DataFrame,
     """Membership after adding and then removing pairs; only files that exist are added."""
     known = add.join(files.select("file_id"), "file_id", "left_semi").select("context_id", "file_id")
     grown = context_files.select("context_id", "file_id").union(known).distinct()
-    return grown.join(remove.select("context_id", "file_id"), ["context_id", "file_id"], "left_anti")
+    gone = remove.select("context_id", "file_id").distinct()
+    return grown.join(gone, ["context_id", "file_id"], "left_anti")

@@ -48,12 +48,32 @@ def batch_id(chunk_index: Column, size: int = BATCH) -> Column:
 
 
 def ordered_batches(chunks: DataFrame, size: int = BATCH, most: int = BATCH_CHARS) -> DataFrame:
-    """Texts of ``size`` neighbouring chunks of a file, in order, joined by a blank line."""
+    """Texts of ``size`` neighbouring chunks of a stored chunk table, in order, joined by a blank line.
+
+    A group holds at most ``size`` chunks. Where the files themselves are at hand ``file_batches``
+    gives the same without a shuffle.
+    """
     joined = F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY chunk_index)")
     grouped = chunks.groupBy("file_id", batch_id(F.col("chunk_index"), size).alias("batch"))
     return grouped.agg(F.count(F.lit(1)).alias("n_chunks"), cap(joined, most).alias("text"))
 
 
+def file_batches(
+    texts: DataFrame, size: int = BATCH, most: int = BATCH_CHARS, window: int = 1000, overlap: int = 200
+) -> DataFrame:
+    """The same batches cut from (``file_id``, ``text``) rows; nothing leaves the row of its file."""
+    cut = texts.withColumn("pieces", window_array(F.col("text"), window, overlap)).filter(F.size("pieces") > 0)
+    last = F.floor((F.size("pieces") - 1) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("pieces", i * size + 1, F.lit(size)))
+    rows = cut.select("file_id", F.posexplode(parts).alias("batch", "part"))
+    return rows.select(
+        "file_id",
+        "batch",
+        F.size("part").cast("long").alias("n_chunks"),
+        cap(F.array_join("part", "\n\n"), most).alias("text"),
+    )
+
+
 def text_census(chunks: DataFrame, vector: str = "embedding", width: int = 8) -> DataFrame:
     """Texts, distinct texts and bytes their vectors take."""
     return chunks.agg(
@@ -70,6 +90,7 @@ def focus_sample(context_files: DataFrame, chunks: DataFrame, size: int = BATCH)
         F.min("file_id").alias("file_id")
     )
     head = chunks.filter(F.col("chunk_index") < size)
+    head = head.join(first.select("file_id").distinct(), "file_id", "left_semi")
     joined = F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY chunk_index)")
     samples = head.groupBy("file_id").agg(joined.alias("sample"))
     return first.join(samples, "file_id")

@@ -87,7 +87,7 @@ def literally_named(name: Column, context: Column) -> Column:
     return text.isin("", NO_CONTEXT.lower()) | found
 
 
-def first_wins(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
+def first_wins(df: DataFrame, keys: list[Column], order: list[str | Column]) -> DataFrame:
     """First row of each key; every partition keeps only its first before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_n", n).filter(F.col("_n") == 1).drop("_n")
@@ -137,6 +137,7 @@ def point(coordinates: Column) -> Column:
 def with_geometry(entities: DataFrame, boundaries: DataFrame, wanted: str) -> DataFrame:
     """Looks up a polygon or centroid by name, and by state and country where both sides know them.
 
+    The entities are distinct by name and type; of several boundaries the one that agrees most wins.
     Adds ``boundary`` and ``osm_<wanted>_found``; a shape of another kind counts as not found.
     """
     accepted = {"polygon": ["Polygon", "MultiPolygon"], "centroid": ["Point"]}[wanted]
@@ -146,13 +147,17 @@ def with_geometry(entities: DataFrame, boundaries: DataFrame, wanted: str) -> Da
 
     e, b = entities.alias("e"), boundaries.alias("b")
     fits = F.col("e.name") == F.col("b.name")
+    exact = F.lit(0)
     for side in ("estado", "pais"):
         mine, theirs = known(F.col(f"e.{side}")), F.col(f"b.{side}")
         fits = fits & (mine.isNull() | theirs.isNull() | (mine == theirs))
-    joined = e.join(b, fits, "left").select("e.*", "b.geometry_type", "b.geometry")
-    right_kind = F.col("geometry_type").isin(accepted)
-    out = joined.withColumn("boundary", F.when(right_kind, F.col("geometry")))
-    return out.withColumn(f"osm_{wanted}_found", F.col("boundary").isNotNull()).drop("geometry_type", "geometry")
+        exact = exact + F.coalesce((mine == theirs).cast("int"), F.lit(0))
+    right_kind = F.col("b.geometry_type").isin(accepted)
+    joined = e.join(b, fits, "left").select(
+        "e.*", F.when(right_kind, F.col("b.geometry")).alias("boundary"), (-exact).alias("_looseness")
+    )
+    best = first_wins(joined, [F.lower("name"), F.col("type")], ["_looseness", F.col("boundary").asc_nulls_last()])
+    return best.withColumn(f"osm_{wanted}_found", F.col("boundary").isNotNull()).drop("_looseness")
 
 
 def features(entities: DataFrame, properties: list[str], coordinates: str = "coordenadas") -> Column:

@@ -199,7 +199,7 @@ def a1(spark, d):
     """The roll-up at fact size: an order with lines plays the file, a customer the context."""
     contexts = T.contexts(spark, d)
     orders = T.load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("context_id"))
-    lines = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    lines = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     filled = orders.join(lines, "o_orderkey", "left_semi")
     files = filled.join(contexts.select("context_id", "workspace_id"), "context_id").withColumnRenamed(
         "o_orderkey", "file_id"
@@ -267,10 +267,10 @@ def j14(spark, d):
 @query(
     "j15_files_to_ingest",
     """SELECT file_id, filename FROM files WHERE NOT processed
-       AND file_id NOT IN (SELECT vec_id FROM embeddings)""",
+       AND file_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def j15(spark, d):
-    stored = T.load(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"))
+    stored = T.load(spark, d, "labels").select(F.col("doc_id").alias("file_id"))
     return C.files_to_ingest(T.files(spark, d), stored).select("file_id", "filename")
 
 

@@ -154,16 +154,22 @@ def a7(spark, d):
     )
 
 
-@query(
-    "a8_ordered_batches",
-    """SELECT file_id, CAST(chunk_index // 5 AS INT) AS batch, count(*) AS n_chunks,
-              string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)[:12000] AS text
-       FROM chunks GROUP BY ALL""",
-)
+BATCH_SQL = """
+    SELECT file_id, CAST(chunk_index // 5 AS INT) AS batch, count(*) AS n_chunks,
+           string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)[:12000] AS text
+    FROM chunks GROUP BY ALL"""
+
+
+@query("a8_ordered_batches", BATCH_SQL)
 def a8(spark, d):
     return K.ordered_batches(T.chunks(spark, d))
 
 
+@query("a8_file_batches", BATCH_SQL)
+def a8_files(spark, d):
+    return K.file_batches(texts(spark, d))
+
+
 @query(
     "a15_text_census",
     """SELECT count(*) AS n_texts, count(DISTINCT md5(text)) AS n_distinct,

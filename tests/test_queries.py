@@ -42,6 +42,7 @@ def test_every_oracle_has_its_query():
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["p7_report_list"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "EqualTo(o_orderpriority,2-HIGH)" in plan
     assert "o_totalprice" not in plan
