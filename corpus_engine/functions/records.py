@@ -182,11 +182,11 @@ def walk(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> Dat
 
     out = df.select(*keep, F.inline(children(None, F.col(record))))
     path, value = F.col("path"), F.col("value")
+    none = F.array().cast("array<struct<path: string, value: variant, is_open: boolean>>")
     for _ in range(max_depth - 1):
-        below = F.when(F.col("is_open"), children(path, value))
-        itself = F.array(node(path, value, False))
-        out = out.select(*keep, F.inline(F.when(below.isNull(), itself).otherwise(F.concat(itself, below))))
-    deeper = F.col("is_open") & (F.size(F.coalesce(children(path, value), F.array())) > 0)
+        below = F.coalesce(F.when(F.col("is_open"), children(path, value)), none)
+        out = out.select(*keep, F.inline(F.concat(F.array(node(path, value, False)), below)))
+    deeper = F.col("is_open") & (F.size(F.coalesce(children(path, value), none)) > 0)
     checked = F.when(deeper, F.raise_error(F.lit(f"record nested deeper than {max_depth}"))).otherwise(path)
     return out.select(*keep, checked.alias("path"), "value")
 

@@ -19,7 +19,11 @@ SIMPLE_BLACKLIST = [
     "zona arqueológica", "abadía", "basílica", "conjunto", "sitio", "centro histórico", "reserva", "santuario",
     "templo", "fortaleza", "castillo", "monasterio",
 ]
-BLACKLIST = [*SIMPLE_BLACKLIST, "instituto", *ROAD_WORDS]
+BLACKLIST = [
+    "catedral", "palacio", "jardines", "gran muralla", "parque nacional", "museo", "universidad", "instituto",
+    "unesco", "zona arqueológica", "abadía", "basílica", "conjunto", "sitio", "centro histórico", "reserva",
+    "santuario", "templo", "fortaleza", "castillo", "monasterio", "calle", "avenida",
+]
 NO_CONTEXT = "Contexto no proporcionado por el modelo."
 UNKNOWN_PLACE = "No especificado"
 NOT_AVAILABLE = ["N/A", "n/a", "N/a", ""]
