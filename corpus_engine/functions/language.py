@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,21 +21,28 @@ SAMPLE_CHARS = 2000
 LEAST_CHARS = 10
 
 
+def within(listed: list[str]) -> Callable[[Column], Column]:
+    return lambda word: word.isin(listed)
+
+
 def guess_language(text: Column, sample: int | None = SAMPLE_CHARS) -> Column:
     """Language with the most function words in the sample; ``es`` for short or wordless texts.
 
     ``sample=None`` reads the whole text.
     """
     seen = text if sample is None else cap(text, sample)
-    plain = F.trim(F.regexp_replace(F.lower(seen), r"[^\p{L}\p{N}_\s]", " "))
-    # Two spaces between words let neighbouring hits each have their own.
-    padded = F.concat(F.lit(" "), F.regexp_replace(plain, r"\s+", "  "), F.lit(" "))
-    hits = [F.regexp_count(padded, F.lit(f" ({'|'.join(ws)}) ")) for ws in FUNCTION_WORDS.values()]
+    tokens = F.filter(F.split(F.lower(seen), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
     names = F.array(*[F.lit(lang) for lang in FUNCTION_WORDS])
 
-    def winner(counts: Column) -> Column:
+    def winner(found: Column) -> Column:
+        hits = [F.size(F.filter(found, within(ws))) for ws in FUNCTION_WORDS.values()]
+        plain = F.trim(F.regexp_replace(seen, r"[^\p{L}\p{N}_\s]", " "))
+        # Spaces between words only add to the length, so most texts need no second look.
+        short = (F.length(F.array_join(found, "")) < LEAST_CHARS) & (F.length(plain) < LEAST_CHARS)
+        return F.when(~short, bind(F.array(*hits), best_language))
+
+    def best_language(counts: Column) -> Column:
         best = F.array_max(counts)
         return F.when(best > 0, F.element_at(names, F.array_position(counts, best).cast("int")))
 
-    guess = F.when(F.length(plain) >= LEAST_CHARS, bind(F.array(*hits), winner))
-    return F.coalesce(guess, F.lit(DEFAULT_LANGUAGE))
+    return F.coalesce(bind(tokens, winner), F.lit(DEFAULT_LANGUAGE))

@@ -83,7 +83,8 @@ def x14_sentences(spark, d):
 
 @query("x15_language_guess", f"SELECT doc_id, {sql_language('text')} AS language FROM documents")
 def x15(spark, d):
-    return T.load(spark, d, "documents").select("doc_id", L.guess_language(F.col("text")).alias("language"))
+    docs = T.load_spread(spark, d, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", L.guess_language(F.col("text")).alias("language"))
 
 
 @query("x15_language_whole_text", f"SELECT doc_id, {sql_language('text', '')} AS language FROM documents")
