@@ -7,12 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import line_dedup, mixing
+from corpus_engine.llm import hashing_search, html_extract, language_id, line_dedup, mixing, quality, warc
+from corpus_engine.llm.frames import in_bucket
+from corpus_engine.session import shared_folder
 from corpus_engine.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page through a WARC archive and back: length and digest of its payload, and what it revisits."""
+    pages = load(spark, sf_dir, "pages")
+    # The id of a record holds a hash of its payload before that of the page, so that a repeated page id is no clash.
+    payload_hash = F.lpad(F.hex(F.xxhash64("html")), 16, "0")
+    record_id = F.concat(payload_hash, F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    page_of = lambda c: F.substring(c, 17, 20).try_cast("long")
+    order = F.coalesce(page_of(F.col("record_id")), F.lit((1 << 63) - 1))
+    files = warc.archive(pages, record_id, order, F.col("url"), F.col("html"), shared_folder(spark))
+    back = warc.read_archives(spark, files, with_data=False)
+    return back.select(
+        page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_extract.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out fifth."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    weights = quality.train(docs, labels.filter(~in_bucket("doc_id", 5, 0)))
+    out = quality.score(docs.select("doc_id", "text"), weights)
+    score = F.col("_score").alias("score")
+    return out.select("doc_id", in_bucket("doc_id", 5, 0).alias("held_out"), score, (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the three quarters that are not held out."""
+    docs = load(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~in_bucket("doc_id", 4, 2)), "doc_id", "text", "lang")
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    held_out = in_bucket("doc_id", 4, 2).alias("held_out")
+    return out.select("doc_id", held_out, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return hashing_search.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped and digest of what stays, per document."""
     out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -26,6 +76,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op2_html": op2_html,
+    "op4_quality": op4_quality,
+    "op7_language": op7_language,
+    "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
@@ -49,4 +104,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+# The digest as bare upper-case base32, five hexadecimal digits for each four letters.
+OP1_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hexed FROM pages),
+digests AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+      (CAST('0x' || substr(hexed, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM digests)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op9_line_dedup": OP9_SQL,
+}

@@ -83,7 +83,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(held, dtype=np.uint8) if held is not None and held.size else np.empty(0, np.uint8)), offsets
 
 
-def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES, block_rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of groups of whole texts."""
     if not len(column):
         return
@@ -91,7 +91,7 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[i
     row, n = 0, len(column)
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + block_bytes, side="right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), row + block_rows, n)
         yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
