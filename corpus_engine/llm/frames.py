@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpus_engine.session import cut_lineage
 
@@ -29,13 +27,9 @@ def in_bucket(key: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == remainder, F.lit(False))
 
 
-def batch_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over each Arrow batch of ``df``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def extended(df: DataFrame, **fields: str) -> StructType:
+    """The schema of ``df`` with more fields, by name and type."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out

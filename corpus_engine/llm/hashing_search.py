@@ -26,7 +26,7 @@ SAMPLE_ROWS = 4096
 SEGMENT_ROWS = 2048
 QUERY_ROWS = 4096
 ROTATION_ROUNDS = 15
-REACH = 0.98
+REACH = 0.99
 HIT = "query_id long, vec_id long, score double"
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 

@@ -17,6 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpus_engine.llm.frames import extended
 from corpus_engine.llm.html_labels import PAGES
 from corpus_engine.llm.html_tree import Block, Page, parse
 
@@ -136,4 +137,4 @@ def extract(pages: DataFrame, html: str = "html", least: float = 0.5) -> DataFra
             texts = [main_text(x.as_py(), model, least) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_text"])
 
-    return pages.mapInArrow(run, pages.schema.add("_text", "string"))
+    return pages.mapInArrow(run, extended(pages, _text="string"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_engine.llm.frames import extended
 from corpus_engine.llm.sampling import bounded_sample, fit_shards
 from corpus_engine.llm.words import LOWER, blocks
 
@@ -162,5 +163,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=[*batch.schema.names[:-1], "_lang", "_score", "_ambiguous"],
             )
 
-    schema = docs.schema.add("_lang", "string").add("_score", "double").add("_ambiguous", "boolean")
+    schema = extended(docs, _lang="string", _score="double", _ambiguous="boolean")
     return rows.mapInArrow(run, schema)

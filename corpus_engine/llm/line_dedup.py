@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_engine.llm.frames import extended
+
 LEAST_POINTS = 10
 FILTER_BITS = 1 << 25
 BLOCK_BITS = 1 << 19
@@ -152,5 +154,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             names = [*batch.schema.names[:-1], "_n_lines", "_n_dropped"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
-    schema = joined.drop("_keys").schema.add("_n_lines", "long").add("_n_dropped", "long")
+    schema = extended(docs, _n_lines="long", _n_dropped="long")
     return joined.mapInArrow(rewrite, schema)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_engine.llm.frames import extended
 from corpus_engine.llm.sampling import bounded_sample, fit_shards
 from corpus_engine.llm.words import BY_KIND, blocks, mix, words_of
 
@@ -63,13 +64,15 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, epochs: int, seed: int) -> np
             own, count = np.unique(at[order[cuts[i] : cuts[i + 1]]], return_counts=True)
             rows.append((np.append(own, ROOM), np.append(count / np.sqrt(max(count.sum(), 1)), 1.0)))
     z, n = np.zeros(ROOM + 1), np.zeros(ROOM + 1)
+    share = np.array([max((labels == v).sum(), 1) for v in (0, 1)]) / max(len(labels), 1)
+    weight = 0.5 / share[labels.astype(int)]  # both labels weigh alike, however rare one is
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in draw.permutation(len(rows)):
             at, x = rows[i]
             w = leader(z[at], n[at])
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - labels[i]) * x
+            g = weight[i] * (p - labels[i]) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     return leader(z, n)
@@ -112,4 +115,4 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
             odds = np.clip(np.concatenate(odds) if odds else np.empty(0), -35, 35)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-odds)))], names=[*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("_score", "double"))
+    return docs.mapInArrow(run, extended(docs, _score="double"))

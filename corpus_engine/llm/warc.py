@@ -240,6 +240,8 @@ def records_of(stream, chunk_bytes: int, read_bytes: int = READ_BYTES) -> Iterat
     source = Unpacked(stream, read_bytes)
     while (head := source.until(b"\r\n\r\n")) is not None:
         lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+        if lines == [""]:
+            continue  # the end of the record before
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         left = int(fields.get("content-length", 0))
         if left and "application/http" in fields.get("content-type", ""):
