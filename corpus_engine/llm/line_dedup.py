@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.frames import extended
+from corpus_engine.llm.frames import extended, stored
 
 LEAST_POINTS = 10
 FILTER_BITS = 1 << 25
@@ -118,7 +118,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Both uses read the suspects anew from the documents: cheaper than keeping them, and nothing is lost with an executor.
     maybe = suspected(lines, build_filter(lines, least, filter_bits), least)
     first = maybe.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = maybe.join(first.select("key", "first"), "key").filter("doc_id > first")
+    # Stored, so that a hot line's rows needn't meet the task that grouped it and a skewed join can be split.
+    later = maybe.join(stored(first.select("key", "first")), "key").filter("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 

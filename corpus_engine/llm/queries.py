@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import hashing_search, html_extract, language_id, line_dedup, mixing, quality, warc
+from corpus_engine.llm import hashing_search, html_extract, jaccard_join, language_id, line_dedup, mixing, quality, warc
 from corpus_engine.llm.frames import in_bucket
 from corpus_engine.session import shared_folder
 from corpus_engine.tables import load
@@ -40,6 +40,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of near copies of every document."""
+    return jaccard_join.link_documents(load(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels outside the held-out fifth."""
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
@@ -78,6 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
+    "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
     "op7_language": op7_language,
     "op8_nearest": op8_nearest,
