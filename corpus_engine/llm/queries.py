@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import hashing_search, html_extract, jaccard_join, language_id, line_dedup, mixing, quality, warc
-from corpus_engine.llm.frames import in_bucket
+from corpus_engine.llm import (
+    decontam,
+    hashing_search,
+    html_extract,
+    jaccard_join,
+    language_id,
+    licence_scan,
+    line_dedup,
+    mixing,
+    quality,
+    warc,
+)
+from corpus_engine.llm.frames import in_bucket, stored
 from corpus_engine.session import shared_folder
 from corpus_engine.tables import load
 
@@ -54,6 +65,34 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_bucket("doc_id", 5, 0).alias("held_out"), score, (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above.
+
+    Documents have no paths; one is derived from source and number: a hundred documents to a directory, a thousand
+    to the one above, and every hundredth document is the licence file of its directory.
+    """
+    number = F.col("doc_id")
+    name = F.when(number % 1000 == 0, F.lit("LICENSE")).otherwise(
+        F.concat(F.floor(number % 1000 / 100).cast("string"), F.when(number % 100 == 0, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/"), number.cast("string"), F.lit(".txt"))))
+    )
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(number / 1000).cast("string"), F.lit("/"), name)
+    docs = load(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    out = licence_scan.inherit(stored(licence_scan.scan(docs).drop("text")))
+    return out.select(
+        "doc_id",
+        "path",
+        F.col("_licence").alias("licence"),
+        F.col("_cosine").alias("cosine"),
+        F.col("_effective").alias("effective"),
+        F.col("_inherited_from").alias("inherited_from"),
+    )
+
+
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a benchmark item in a document, with its score and place."""
+    return decontam.copies(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the three quarters that are not held out."""
     docs = load(spark, sf_dir, "documents")
@@ -85,6 +124,8 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
+    "op5_licences": op5_licences,
+    "op6_decontam": op6_decontam,
     "op7_language": op7_language,
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
