@@ -122,8 +122,10 @@ def grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     total = len(words.hash)
     out = np.zeros(total, dtype=np.uint64)
     for k in range(size):
-        step = np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
-        out[: max(total - k, 0)] += (words.hash[k:] ^ np.uint64(k)) * step
+        held = out[: max(total - k, 0)]  # each step mixes what stands so far, so that the order of words counts
+        held ^= words.hash[k:]
+        held *= _MIX1
+        held ^= held >> np.uint64(29)
     last = np.repeat(words.first[1:], words.counts())
     return mix(out), np.arange(total) + size <= last
 
@@ -149,5 +151,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sequence(hashes: np.ndarray) -> np.uint64:
-    steps = np.arange(1, len(hashes) + 1, dtype=np.uint64) * _MIX2
-    return mix(np.atleast_1d(((hashes ^ steps) * (steps | np.uint64(1))).sum(dtype=np.uint64) + np.uint64(len(hashes))))[0]
+    out = np.full(1, len(hashes), dtype=np.uint64)
+    for h in hashes:
+        out = mix((out ^ h) * _MIX2)
+    return out[0]
