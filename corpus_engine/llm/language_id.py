@@ -33,7 +33,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     """One row of +1 and -1 per class: every split of up to five classes, else the best of many random codes."""
     if n <= 5:
         columns = [[1 if c == 0 or (b >> (c - 1)) & 1 else -1 for c in range(n)] for b in range(2 ** max(n - 1, 0) - 1)]
-        return np.array(columns, dtype=np.float64).reshape(-1, n).T
+        return np.array(columns, dtype=np.float64).reshape(2 ** max(n - 1, 0) - 1, n).T
     draw, best, apart = np.random.default_rng(seed), None, -1
     bits = int(np.ceil(10 * np.log2(n)))
     for _ in range(200):

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Shards of a sample. Each is one group, and holds about a sixteenth of the sample's bounded rows.
-SHARDS = 16
+#: A sample is dealt to as many shards of about so many rows as it fills, up to the most.
+SHARD_ROWS = 400
+MOST_SHARDS = 16
 
 
 def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, seed: int) -> DataFrame:
@@ -32,5 +33,6 @@ def fit_shards(sample: DataFrame, key: str, fit: Callable[[pd.DataFrame], pd.Dat
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return fit(rows.sort_values(key, kind="stable").reset_index(drop=True))
 
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(SHARDS))
+    shards = max(1, min(sample.count() // SHARD_ROWS, MOST_SHARDS))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(shards))
     return sample.withColumn("_shard", shard).groupBy("_shard").applyInPandas(run, schema).collect()
