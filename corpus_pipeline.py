@@ -38,10 +38,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component, and all that are linked with nothing.
 
-    Rows without an id are known by a negative hash of their text. Of rows with one id the first by text, language
-    and source stays.
+    Rows without an id are known by a hash of their text that is larger than ids. Of rows with one id the first by
+    text, language and source stays.
     """
-    by_text = -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)
+    by_text = F.abs(F.xxhash64("text") % (1 << 61)) + (1 << 62)
     known = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), by_text))
     links = jaccard_join.link_documents(known, doc_id="_id")
     first = links.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).filter("doc_id = component_id")
