@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,64 +123,84 @@ def split_text(text: str, size: int, overlap: int, separators: list[str]) -> lis
     return [c for run in runs(text, size, separators) for c in pack(run, size, overlap) if c]
 
 
-def separator_chunks(text: Column, size: Column, overlap: Column, separators: list[str]) -> Column:
-    """Chunks cut at the coarsest separators that fit, in Arrow batches."""
+def join_short(pieces: list[str], size: int, shortest: int = SHORTEST, legacy: bool = False) -> list[str]:
+    """Pieces under ``shortest`` join the one before if both fit in ``size``, else the next, else they stay alone.
+
+    With ``legacy`` those that don't fit the one before are dropped.
+    """
+    out: list[str] = []
+    waiting = ""
+    for piece in pieces:
+        if waiting:
+            if len(waiting) + len(piece) < size:
+                piece, waiting = f"{waiting} {piece}", ""
+            else:
+                out.append(waiting)
+                waiting = ""
+        if len(piece) >= shortest:
+            out.append(piece)
+        elif out and len(out[-1]) + len(piece) < size:
+            out[-1] += f" {piece}"
+        elif not legacy:
+            waiting = piece
+    return [*out, waiting] if waiting else out
+
+
+SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s)|\Z)", re.S)
+
+
+def sentence_runs(piece: str, size: int) -> list[str]:
+    """Sentences packed up to ``size`` each; their end marks are kept."""
+    out: list[str] = []
+    held: list[str] = []
+    total = 0
+    for sentence in SENTENCE.findall(piece):
+        if held and total + 1 + len(sentence) > size:
+            out.append(" ".join(held))
+            held, total = [], 0
+        total += len(sentence) + (1 if held else 0)
+        held.append(sentence)
+    return [*out, " ".join(held)] if held else out
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
-        return pd.Series(
-            [split_text(t or "", int(s), int(o), separators) for t, s, o in zip(texts, sizes, overlaps)], dtype=object
-        )
 
-    return split(text, size, overlap)
+def cut_long(pieces: list[str], size: int) -> list[str]:
+    """Pieces over one and a half times ``size`` cut at sentence ends."""
+    return [c for p in pieces for c in (sentence_runs(p, size) if len(p) > 1.5 * size else [p])]
 
 
-def merge_short(pieces: Column, size: Column, shortest: int = SHORTEST) -> Column:
-    """Pieces under ``shortest`` join the one before if both fit in ``size``, else they are dropped."""
+def cut_column(cut: Callable[[str, int, int], list[str]], text: Column, size: Column, overlap: Column) -> Column:
+    """``cut(text, size, overlap)`` of every row, in Arrow batches; a null text has no pieces."""
 
-    def step(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last) + F.length(piece) < size)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(" "), piece)))
-        short = F.length(piece) < shortest
-        return F.when(~short, F.concat(done, F.array(piece))).when(fits, joined).otherwise(done)
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
+        return pd.Series([cut(t or "", int(s), int(o)) for t, s, o in zip(texts, sizes, overlaps)], dtype=object)
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return run(text, size, overlap)
 
 
-def split_sentences(piece: Column, size: Column) -> Column:
-    """Sentences packed up to ``size`` each; their end marks are kept."""
-    sentences = F.regexp_extract_all(piece, F.lit(r"(?s)\S.*?(?:[.!?](?=\s)|$)"), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+def separator_chunks(text: Column, size: Column, overlap: Column, separators: list[str]) -> Column:
+    """Chunks cut at the coarsest separators that fit."""
+    return cut_column(lambda t, s, o: split_text(t, s, o, separators), text, size, overlap)
 
-    def step(acc: Column, sentence: Column) -> Column:
-        joined = F.when(acc["held"] == "", sentence).otherwise(F.concat(acc["held"], F.lit(" "), sentence))
-        full = (acc["held"] != "") & (F.length(joined) > size)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, sentence).otherwise(joined).alias("held"),
-        )
 
-    def close(acc: Column) -> Column:
-        return F.when(acc["held"] != "", F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
+def sentence_chunks(text: Column, size: Column) -> Column:
+    """Texts over one and a half times ``size`` cut at sentence ends, others whole."""
+    return cut_column(lambda t, s, o: cut_long([t], s) if t else [], text, size, F.lit(0))
 
-    return F.aggregate(sentences, start, step, close)
 
+def adaptive_chunks(
+    df: DataFrame, text: str, language: str, keep: list[str], overlap: int | None = None, legacy: bool = False
+) -> DataFrame:
+    """One row per chunk of the adaptive splitter, with size, overlap and 0-based ``chunk_index``.
 
-def split_long(pieces: Column, size: Column) -> Column:
-    """Pieces over one and a half times ``size`` cut at sentence ends."""
-    return F.flatten(
-        F.transform(
-            pieces, lambda p: F.when(F.length(p) > size * 1.5, split_sentences(p, size)).otherwise(F.array(p))
-        )
-    )
+    ``overlap`` replaces the one that goes with the size; ``legacy`` drops short pieces that fit nowhere.
+    """
 
+    def cut(given: str, size: int, shared: int) -> list[str]:
+        pieces = split_text(given, size, shared, ADAPTIVE_SEPARATORS)
+        return cut_long(join_short(pieces, size, legacy=legacy), size)
 
-def adaptive_chunks(df: DataFrame, text: str, language: str, keep: list[str]) -> DataFrame:
-    """One row per chunk of the adaptive splitter, with size, overlap and 0-based ``chunk_index``."""
-    size, overlap = adaptive_size(F.length(text), F.col(language))
-    sized = df.withColumn("size", size).withColumn("overlap", overlap)
-    pieces = separator_chunks(F.col(text), F.col("size"), F.col("overlap"), ADAPTIVE_SEPARATORS)
-    cut = sized.withColumn("pieces", pieces)
-    kept = split_long(merge_short(F.col("pieces"), F.col("size")), F.col("size"))
-    return cut.select(*keep, "size", "overlap", F.posexplode(kept).alias("chunk_index", "text"))
+    size, usual = adaptive_size(F.length(text), F.col(language))
+    sized = df.withColumn("size", size).withColumn("overlap", usual if overlap is None else F.lit(overlap))
+    pieces = cut_column(cut, F.col(text), F.coalesce("size", F.lit(1)), F.coalesce("overlap", F.lit(0)))
+    return sized.select(*keep, "size", "overlap", F.posexplode(pieces).alias("chunk_index", "text"))

@@ -25,10 +25,10 @@ def within(listed: list[str]) -> Callable[[Column], Column]:
     return lambda word: word.isin(listed)
 
 
-def guess_language(text: Column, sample: int | None = SAMPLE_CHARS) -> Column:
-    """Language with the most function words in the sample; ``es`` for short or wordless texts.
+def guess_language(text: Column, sample: int | None = None) -> Column:
+    """Language with the most function words; ``es`` for short or wordless texts.
 
-    ``sample=None`` reads the whole text.
+    The whole text is read unless ``sample`` says how many characters (``SAMPLE_CHARS`` is a usual number).
     """
     seen = text if sample is None else cap(text, sample)
     tokens = F.filter(F.split(F.lower(seen), r"[^\p{L}\p{N}_]+"), lambda t: t != "")

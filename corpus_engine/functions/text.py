@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 NO_VALUE = "(sin valor)"
 # Texts that stand for a missing value.
 NULL_LIKE = ["", "none", "nan", "null", "desconocido"]
-MAX_VALUE_CHARS = 5000
 
 SPACES = r"(?U)\s+"
 
@@ -40,12 +39,14 @@ def cap(c: Column, n: int) -> Column:
     return F.left(c, F.lit(n))
 
 
-def clean_value(c: Column) -> Column:
-    """One-line text of a value; ``(sin valor)`` for what means nothing."""
+def clean_value(c: Column, most: int | None = None) -> Column:
+    """One-line text of a value; ``(sin valor)`` for what means nothing.
+
+    ``most`` cuts longer values for display; without it nothing is cut.
+    """
 
     def cleaned(flat: Column) -> Column:
-        long = F.length(flat) > MAX_VALUE_CHARS
-        cut = F.when(long, F.concat(cap(flat, MAX_VALUE_CHARS), F.lit("..."))).otherwise(flat)
+        cut = flat if most is None else F.when(F.length(flat) > most, F.concat(cap(flat, most), F.lit("..."))).otherwise(flat)
         return F.when(F.lower(flat).isin(NULL_LIKE), NO_VALUE).otherwise(cut)
 
     return F.coalesce(bind(collapse(c.cast("string")), cleaned), F.lit(NO_VALUE))
@@ -57,7 +58,7 @@ def drop_no_value(values: Column) -> Column:
 
 def clean_list(values: Column) -> Column:
     """Cleaned items joined by ``, ``; ``(sin valor)`` when none is left."""
-    kept = F.coalesce(drop_no_value(F.transform(values, clean_value)), F.array().cast("array<string>"))
+    kept = F.coalesce(drop_no_value(F.transform(values, lambda v: clean_value(v))), F.array().cast("array<string>"))
     return F.when(F.size(kept) > 0, F.array_join(kept, ", ")).otherwise(NO_VALUE)
 
 

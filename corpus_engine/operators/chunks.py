@@ -10,17 +10,16 @@ from corpus_engine.functions.language import guess_language
 from corpus_engine.functions.text import cap
 
 BATCH = 5
-BATCH_CHARS = 12000
 
 
-def chunk_files(texts: DataFrame, size: int = 1000, overlap: int = 200, sample_chunks: int = 3) -> DataFrame:
+def chunk_files(texts: DataFrame, size: int = 1000, overlap: int = 200, sample_chunks: int | None = None) -> DataFrame:
     """Chunk rows of (``file_id``, ``text``), each with the language of its file.
 
-    The language is guessed from the first chunks while they still sit in the row of their file, so
-    no chunk is grouped or joined for it.
+    The language is guessed from the whole text, or from the first ``sample_chunks``, while the file is one row,
+    so no chunk is grouped or joined for it.
     """
     cut = texts.withColumn("pieces", window_array(F.col("text"), size, overlap))
-    sample = F.array_join(F.slice("pieces", 1, sample_chunks), " ")
+    sample = F.col("text") if sample_chunks is None else F.array_join(F.slice("pieces", 1, sample_chunks), " ")
     voted = cut.withColumn("language", guess_language(sample)).drop("text")
     rest = [c for c in voted.columns if c != "pieces"]
     return voted.select(*rest, F.posexplode("pieces").alias("chunk_index", "text"))
@@ -47,30 +46,33 @@ def batch_id(chunk_index: Column, size: int = BATCH) -> Column:
     return F.floor(chunk_index / size).cast("int")
 
 
-def ordered_batches(chunks: DataFrame, size: int = BATCH, most: int = BATCH_CHARS) -> DataFrame:
+def ordered_batches(chunks: DataFrame, size: int = BATCH, most: int | None = None) -> DataFrame:
     """Texts of ``size`` neighbouring chunks of a stored chunk table, in order, joined by a blank line.
 
+    Batches are whole; ``most`` cuts them for a reader that takes no more characters.
+
     A group holds at most ``size`` chunks. Where the files themselves are at hand ``file_batches``
     gives the same without a shuffle.
     """
     joined = F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY chunk_index)")
     grouped = chunks.groupBy("file_id", batch_id(F.col("chunk_index"), size).alias("batch"))
-    return grouped.agg(F.count(F.lit(1)).alias("n_chunks"), cap(joined, most).alias("text"))
+    return grouped.agg(F.count(F.lit(1)).alias("n_chunks"), (joined if most is None else cap(joined, most)).alias("text"))
 
 
 def file_batches(
-    texts: DataFrame, size: int = BATCH, most: int = BATCH_CHARS, window: int = 1000, overlap: int = 200
+    texts: DataFrame, size: int = BATCH, most: int | None = None, window: int = 1000, overlap: int = 200
 ) -> DataFrame:
     """The same batches cut from (``file_id``, ``text``) rows; nothing leaves the row of its file."""
     cut = texts.withColumn("pieces", window_array(F.col("text"), window, overlap)).filter(F.size("pieces") > 0)
     last = F.floor((F.size("pieces") - 1) / size).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("pieces", i * size + 1, F.lit(size)))
     rows = cut.select("file_id", F.posexplode(parts).alias("batch", "part"))
+    joined = F.array_join("part", "\n\n")
     return rows.select(
         "file_id",
         "batch",
         F.size("part").cast("long").alias("n_chunks"),
-        cap(F.array_join("part", "\n\n"), most).alias("text"),
+        (joined if most is None else cap(joined, most)).alias("text"),
     )
 
 

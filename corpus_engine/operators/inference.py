@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_engine.functions.text import cap
-
-MODEL_CHARS = 30000
 BATCH = 150
 
 
@@ -25,18 +22,26 @@ def hashed_words(size: int = 64) -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), size), dtype=np.float32)
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                row[zlib.crc32(word.encode()) % size] += 1
+                row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % size] += 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return embed
 
 
 def embed(
-    df: DataFrame, text: str, fn: Callable[[list[str]], np.ndarray], size: int = 768, attempts: int = 2, batch: int = BATCH
+    df: DataFrame,
+    text: str,
+    fn: Callable[[list[str]], np.ndarray],
+    size: int = 768,
+    attempts: int = 2,
+    batch: int = BATCH,
+    most_chars: int | None = None,
 ) -> DataFrame:
     """Adds ``embedding``: each distinct text is embedded once and joined back by md5.
 
-    A batch that fails is tried again text by text; a text without a usable vector gets zeros.
+    A batch that fails is tried again text by text; a text without a usable vector gets zeros. Whole texts are
+    embedded; with ``most_chars`` longer ones have no vector, to be cut into chunks first. Null texts have none
+    and are not joined.
     """
 
     def one(value: str) -> np.ndarray:
@@ -62,10 +67,10 @@ def embed(
         return predict
 
     vector = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
-    cut = cap(F.col(text), MODEL_CHARS)
-    distinct = df.select(cut.alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    given = F.col(text) if most_chars is None else F.when(F.length(text) <= most_chars, F.col(text))
+    distinct = df.select(given.alias("_text")).filter(F.col("_text").isNotNull()).distinct()
     vectors = distinct.select(F.md5("_text").alias("_md5"), vector("_text").alias("embedding"))
-    return df.withColumn("_md5", F.md5(cut)).join(vectors, "_md5", "left").drop("_md5")
+    return df.withColumn("_md5", F.md5(given)).join(vectors, "_md5", "left").drop("_md5")
 
 
 def respond(df: DataFrame, prompt: str, fn: Callable[[list[str]], list[str]]) -> DataFrame:

@@ -77,11 +77,44 @@ def x14(spark, d):
 
 @query("x14_sentence_split")
 def x14_sentences(spark, d):
-    cut = H.split_long(F.array("text"), F.lit(500))
+    cut = H.sentence_chunks(F.col("text"), F.lit(500))
     return texts(spark, d).select("file_id", F.posexplode(cut).alias("chunk_index", "text"))
 
 
-@query("x15_language_guess", f"SELECT doc_id, {sql_language('text')} AS language FROM documents")
+def coverage(chunks, most):
+    """Of each file: whether all chunks fit, and a digest of what they hold, white space aside."""
+    joined = F.expr("listagg(text, '') WITHIN GROUP (ORDER BY chunk_index)")
+    held = F.md5(F.regexp_replace(joined, r"\s", ""))
+    return chunks.groupBy("file_id").agg(F.bool_and(F.length("text") <= most).alias("fits"), held.alias("content"))
+
+
+COVERAGE_SQL = r"""SELECT doc_id AS file_id, true AS fits, md5(regexp_replace(text, '\s', '', 'g')) AS content
+                   FROM documents WHERE regexp_matches(text, '\S')"""
+
+
+@query("x13_separator_coverage", COVERAGE_SQL)
+def x13_coverage(spark, d):
+    """Without overlap the chunks are the text, nothing lost and nothing twice."""
+    pieces = H.separator_chunks(F.col("text"), F.lit(1000), F.lit(0), H.PLAIN_SEPARATORS)
+    return coverage(texts(spark, d).select("file_id", F.posexplode(pieces).alias("chunk_index", "text")), 1000)
+
+
+@query("x14_adaptive_coverage", COVERAGE_SQL)
+def x14_coverage(spark, d):
+    docs = T.load_spread(spark, d, "documents", ["doc_id", "text", "lang"]).withColumnRenamed("doc_id", "file_id")
+    return coverage(H.adaptive_chunks(docs, "text", "lang", ["file_id"], overlap=0), F.col("size") + 1)
+
+
+@query("x14_sentence_coverage", COVERAGE_SQL)
+def x14_sentence_coverage(spark, d):
+    cut = H.sentence_chunks(F.col("text"), F.lit(500))
+    rows = texts(spark, d).select("file_id", F.posexplode(cut).alias("chunk_index", "text"))
+    # A sentence longer than the size stays whole; a chunk of several sentences fits.
+    several = F.size(F.regexp_extract_all("text", F.lit(r"[.!?]\s"), F.lit(0))) > 0
+    return coverage(rows, F.when(several, 750).otherwise(F.length("text")))
+
+
+@query("x15_language_guess", f"SELECT doc_id, {sql_language('text', '')} AS language FROM documents")
 def x15(spark, d):
     docs = T.load_spread(spark, d, "documents", ["doc_id", "text"])
     return docs.select("doc_id", L.guess_language(F.col("text")).alias("language"))
@@ -96,9 +129,7 @@ def x15_whole(spark, d):
 @query(
     "a13_language_vote",
     f"""SELECT file_id, chunk_index, language FROM (SELECT file_id, chunk_index FROM chunks) JOIN
-          (SELECT file_id, {sql_language('sample')} AS language FROM
-            (SELECT file_id, string_agg(text, ' ' ORDER BY chunk_index) AS sample FROM chunks
-             WHERE chunk_index < 3 GROUP BY file_id)) USING (file_id)""",
+          (SELECT doc_id AS file_id, {sql_language('text', '')} AS language FROM documents) USING (file_id)""",
 )
 def a13(spark, d):
     return K.chunk_files(texts(spark, d)).select("file_id", "chunk_index", "language")
@@ -157,7 +188,7 @@ def a7(spark, d):
 
 BATCH_SQL = """
     SELECT file_id, CAST(chunk_index // 5 AS INT) AS batch, count(*) AS n_chunks,
-           string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)[:12000] AS text
+           string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text
     FROM chunks GROUP BY ALL"""
 
 

@@ -37,19 +37,27 @@ def test_overlap_repeats_the_end(spark):
     assert H.split_text("aa bb cc dd", 6, 3, [" ", ""]) == ["aa bb", "bb cc", "cc dd"]
 
 
-def test_short_pieces_join_or_go(spark):
-    long = "l" * 60
-    df = spark.createDataFrame([(["corto", long, "fin", "m" * 55, "cola"],)], "p array<string>")
-    assert df.select(H.merge_short(F.col("p"), F.lit(65))).first()[0] == [long + " fin", "m" * 55 + " cola"]
+def test_short_pieces_join_a_neighbour_or_stay():
+    long, pieces = "l" * 60, ["corto", "l" * 60, "fin", "m" * 55, "cola"]
+    assert H.join_short(pieces, 70) == [f"corto {long} fin", "m" * 55 + " cola"]
+    assert H.join_short(pieces, 63) == ["corto", long, "fin " + "m" * 55, "cola"]
+    assert H.join_short(pieces, 65, legacy=True) == [long + " fin", "m" * 55 + " cola"]
+    assert H.join_short(["solo"], 100) == ["solo"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=90), max_size=30))
+def test_joining_short_pieces_loses_nothing(pieces):
+    joined = H.join_short(pieces, 100)
+    assert "".join(joined).replace(" ", "") == "".join(pieces) and all(len(p) <= 100 for p in joined)
 
 
 def test_sentences_keep_their_marks(spark):
     text = "Uno dos. ¿Tres? ¡Cuatro! Cinco seis siete ocho"
+    assert H.sentence_runs(text, 16) == ["Uno dos. ¿Tres?", "¡Cuatro!", "Cinco seis siete ocho"]
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(H.split_sentences(F.col("t"), F.lit(16))).first()[0] == [
-        "Uno dos. ¿Tres?", "¡Cuatro!", "Cinco seis siete ocho",
-    ]
-    assert df.select(H.split_long(F.array("t"), F.lit(40))).first()[0] == [text]
+    assert df.select(H.sentence_chunks(F.col("t"), F.lit(40))).first()[0] == [text]
+    assert len(df.select(H.sentence_chunks(F.col("t"), F.lit(16))).first()[0]) == 3
 
 
 def test_adaptive_pieces_match_the_helper(spark):
@@ -57,4 +65,6 @@ def test_adaptive_pieces_match_the_helper(spark):
     rows = H.adaptive_chunks(df, "text", "lang", ["id"]).orderBy("id", "chunk_index").collect()
     for r in rows:
         assert len(r["text"]) <= r["size"] + 1
-    assert {r["id"] for r in rows} == {2, 3, 4, 5, 6, 7}
+    assert {r["id"] for r in rows} == {1, 2, 3, 4, 5, 6, 7}
+    kept = H.adaptive_chunks(df.filter("id = 1"), "text", "lang", ["id"], legacy=True)
+    assert kept.count() == 0
