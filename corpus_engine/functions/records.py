@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +73,14 @@ def each_leaf(
 
 
 def leaf_text_value(value: Column, dtype: T.DataType) -> Column:
+    """Text of a leaf: booleans as ``True``, fractions with all their digits and no exponent."""
     text = value.cast("string")
-    return F.initcap(text) if isinstance(dtype, T.BooleanType) else text
+    if isinstance(dtype, T.BooleanType):
+        return F.initcap(text)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        digits = F.regexp_replace(value.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+        return F.when(F.abs(value).between(1e7, 1e18), digits).otherwise(text)
+    return text
 
 
 def leaves(record: Column, schema: T.StructType | str, legacy: bool = False) -> Column:
@@ -90,6 +99,55 @@ def leaves(record: Column, schema: T.StructType | str, legacy: bool = False) ->
     return each_leaf(record, schema, make, LEAF)
 
 
+class Written(str):
+    """A number as the JSON text writes it."""
+
+
+def found_leaves(text: str | None) -> list[tuple[str, str, str, str | None]] | None:
+    """Path, key, type and value of every leaf of a JSON text, in its order; None if it is no JSON."""
+    try:
+        root = json.loads(text or "", parse_int=Written, parse_float=Written)
+    except (ValueError, RecursionError):
+        return None
+    out, open_ = [], [("", "", root)]
+    while open_:
+        path, key, value = open_.pop()
+        if isinstance(value, dict):
+            inside = [(f"{path}.{k}" if path else k, f"{key}.{k}" if key else k, v) for k, v in value.items()]
+            open_ += reversed(inside)
+        elif isinstance(value, list):
+            inside = [(f"{path}.{i}" if path else str(i), f"{key}.array" if key else "array", v) for i, v in enumerate(value)]
+            open_ += reversed(inside)
+        elif isinstance(value, Written):
+            out.append((path, key, "integer" if re.fullmatch(r"-?\d+", value) else "number", str(value)))
+        elif isinstance(value, str):
+            out.append((path, key, "string", value))
+        else:
+            out.append((path, key, "null" if value is None else "boolean", None if value is None else str(value)))
+    return out
+
+
+def text_leaves(text: Column) -> Column:
+    """Leaves of a JSON text of any shape, in the order of its keys, numbers as written; null if it is no JSON."""
+
+    @F.pandas_udf(f"array<{LEAF}>")
+    def run(texts: pd.Series) -> pd.Series:
+        names = ("path", "key", "type", "value")
+        rows = (found_leaves(t) for t in texts)
+        return pd.Series([None if r is None else [dict(zip(names, x)) for x in r] for r in rows], dtype=object)
+
+    return run(text)
+
+
+def leaves_text(leaf: Column) -> Column:
+    """``Label: value`` lines of leaves, without those that mean nothing."""
+
+    def line(e: Column) -> Column:
+        return F.concat(label(e["path"]), F.lit(": "), e["value"])
+
+    return F.array_join(F.transform(clean_leaves(leaf), line), "\n")
+
+
 def keys_and_types(leaf: Column) -> Column:
     """Distinct keys with their type; the first leaf of a key decides."""
     pairs = F.array_distinct(
@@ -164,7 +222,8 @@ def walk(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> Dat
 
     An object appends ``.key`` to the path, an array element keeps the path of its array. Each level
     is one generator step over the nodes the level before opened, so the input is read once and
-    nothing is shuffled. A record nested deeper than ``max_depth`` stops the job; no node is left out.
+    nothing is shuffled. A node at ``max_depth`` that could be opened further is handed on whole and
+    marked ``unopened``; its ``value`` can be walked again.
     """
 
     def children(path: Column | None, value: Column) -> Column:
@@ -187,8 +246,7 @@ def walk(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> Dat
         below = F.coalesce(F.when(F.col("is_open"), children(path, value)), none)
         out = out.select(*keep, F.inline(F.concat(F.array(node(path, value, False)), below)))
     deeper = F.col("is_open") & (F.size(F.coalesce(children(path, value), none)) > 0)
-    checked = F.when(deeper, F.raise_error(F.lit(f"record nested deeper than {max_depth}"))).otherwise(path)
-    return out.select(*keep, checked.alias("path"), "value")
+    return out.select(*keep, "path", "value", deeper.alias("unopened"))
 
 
 def parse_whole(text: Column) -> Column:
@@ -201,8 +259,14 @@ def parse_whole(text: Column) -> Column:
 
 
 def at_path(v: Column, json_path: list[str], dtype: str = "string") -> Column:
-    """Value at a key path, null when it is missing or does not fit ``dtype``."""
-    return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in json_path), dtype)
+    """Value at a key path, null when it is missing or does not fit ``dtype``; keys may hold any character."""
+    steps = ""
+    for i, key in enumerate(json_path):
+        if "'" in key and '"' in key:  # no path can quote it
+            inside = F.element_at(members(F.try_variant_get(v, f"${steps}", "variant")), F.lit(key))
+            return at_path(inside, json_path[i + 1 :], dtype)
+        steps += f'["{key}"]' if "'" in key else f"['{key}']"
+    return F.try_variant_get(v, f"${steps}", dtype)
 
 
 def is_string_at(v: Column, json_path: list[str]) -> Column:

@@ -190,16 +190,68 @@ def x7(spark, d):
     return T.load(spark, d, "events").select("event_id", R.canonical_json(raw).alias("item"))
 
 
+# Records with lists in lists, a large fraction, odd keys, and keys that differ from record to record.
+MIXED_SQL = """
+    SELECT event_id, unnest(list_filter([
+        {'pos': 0, 'path': 'id', 'key': 'id', 'type': 'integer', 'value': event_id::VARCHAR},
+        {'pos': 1, 'path': 'props.k', 'key': 'props.k', 'type': 'integer', 'value': json_extract_string(props, '$.k')},
+        {'pos': 2, 'path': 'importe_total', 'key': 'importe_total', 'type': 'number', 'value': '12345678.' || (event_id % 9 + 1)},
+        {'pos': 3, 'path': 'listas.0.0', 'key': 'listas.array.array', 'type': 'integer', 'value': '1'},
+        {'pos': 4, 'path': 'listas.0.1', 'key': 'listas.array.array', 'type': 'number', 'value': '2.50'},
+        {'pos': 5, 'path': 'listas.1.a', 'key': 'listas.array.a', 'type': 'boolean', 'value': 'True'},
+        {'pos': 6, 'path': 'it''s', 'key': 'it''s', 'type': 'null', 'value': NULL},
+        CASE WHEN event_id % 3 = 0 THEN {'pos': 7, 'path': 'tipo', 'key': 'tipo', 'type': 'string', 'value': event_type} END],
+        lambda e: e IS NOT NULL), recursive := true) FROM events"""
+
+
+def mixed_records(spark, d):
+    eid = F.col("event_id")
+    end = F.when(eid % 3 == 0, F.concat(F.lit(', "tipo": "'), "event_type", F.lit('"}'))).otherwise("}")
+    text = F.concat(
+        F.lit('{"id": '), eid.cast("string"), F.lit(', "props": '), "props", F.lit(', "importe_total": 12345678.'),
+        (eid % 9 + 1).cast("string"), F.lit(', "listas": [[1, 2.50], {"a": true}], "it\'s": null'), end,
+    )
+    return T.load(spark, d, "events").select("event_id", R.text_leaves(text).alias("leaf"))
+
+
+@query("x1_any_shape", "SELECT event_id, CAST(pos AS INT) AS pos, path, key, type, value FROM mixed", {"mixed": MIXED_SQL})
+def x1_any(spark, d):
+    rows = mixed_records(spark, d)
+    return rows.select("event_id", F.posexplode("leaf").alias("pos", "e")).select("event_id", "pos", "e.*")
+
+
+@query("x2_any_shape", "SELECT event_id, key, min_by(type, pos) AS type FROM mixed GROUP BY event_id, key", {"mixed": MIXED_SQL})
+def x2_any(spark, d):
+    return mixed_records(spark, d).select("event_id", F.inline(R.keys_and_types(F.col("leaf"))))
+
+
+@query(
+    "x5_any_shape",
+    """SELECT event_id, string_agg(upper(replace(path, '_', ' ')[1]) || lower(replace(path, '_', ' ')[2:]) || ': ' || value,
+                                   chr(10) ORDER BY pos) AS text
+       FROM mixed WHERE value IS NOT NULL GROUP BY event_id""",
+    {"mixed": MIXED_SQL},
+)
+def x5_any(spark, d):
+    return mixed_records(spark, d).select("event_id", R.leaves_text(F.col("leaf")).alias("text"))
+
+
+@query("p16_any_shape", "SELECT event_id, path, value FROM mixed WHERE value IS NOT NULL", {"mixed": MIXED_SQL})
+def p16_any(spark, d):
+    return mixed_records(spark, d).select("event_id", F.inline(R.clean_leaves(F.col("leaf"))))
+
+
 @query(
     "x11_clean_value",
-    r"""SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN '(sin valor)' WHEN length(t) > 5000 THEN t[:5000] || '...'
-          ELSE t END AS value
+    r"""SELECT doc_id, unnest([t, '(sin valor)', '(sin valor)', '(sin valor)', '(sin valor)', CASE WHEN length(t) > 5000
+               THEN t[:5000] || '...' ELSE t END]) AS value
         FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""",
 )
 def x11(spark, d):
-    k = F.col("doc_id") % 7
-    raw = F.when(k == 0, " None\n").when(k == 1, "").when(k == 2, "DESCONOCIDO").when(k > 3, F.col("text"))
-    return T.load(spark, d, "documents").select("doc_id", X.clean_value(raw).alias("value"))
+    """Every text whole, four values that mean nothing, and the text as it is cut for display."""
+    odd = [F.lit(" None\n"), F.lit(""), F.lit("DESCONOCIDO"), F.lit(None).cast("string")]
+    values = F.array(X.clean_value(F.col("text")), *[X.clean_value(v) for v in odd], X.clean_value(F.col("text"), 5000))
+    return T.load(spark, d, "documents").select("doc_id", F.explode(values).alias("value"))
 
 
 @query(
