@@ -49,7 +49,7 @@ def s1(spark, d):
 @query(
     "s2_csv_rows",
     """SELECT c_custkey::VARCHAR AS c_custkey, m AS c_mktsegment,
-              'C custkey: ' || c_custkey || chr(10) || 'C name: ' || c_name || ', Sr' || chr(10)
+              'C custkey: ' || c_custkey || chr(10) || 'C name: ' || c_name || ', Sr "x"' || chr(10)
                 || 'C mktsegment: ' || m AS text
        FROM (SELECT *, CASE WHEN c_custkey % 4 < 3 THEN '(sin valor)' ELSE c_mktsegment END AS m FROM customer)""",
 )
@@ -58,10 +58,11 @@ def s2(spark, d):
     k = F.col("c_custkey")
     segment = F.when(k % 4 == 0, "NaN").when(k % 4 == 1, "N/A").when(k % 4 == 3, F.col("c_mktsegment"))
     customers = T.load(spark, d, "customer").select(
-        "c_custkey", F.concat("c_name", F.lit(", Sr")).alias("c_name"), segment.alias("c_mktsegment")
+        "c_custkey", F.concat("c_name", F.lit(', Sr\n"x"')).alias("c_name"), segment.alias("c_mktsegment")
     )
-    customers.write.csv(path, header=True)
-    return R.csv_texts(R.read_csv_rows(spark, path)).select("c_custkey", "c_mktsegment", "text")
+    customers.write.csv(path, header=True, escape='"')
+    rows, _ = R.read_csv_rows(spark, path)
+    return R.csv_texts(rows).select("c_custkey", "c_mktsegment", "text")
 
 
 def file_contents(spark, d):
@@ -134,11 +135,13 @@ def s6(spark, d):
     )
 
 
-@query("s7_report_texts", "SELECT text FROM documents")
+@query("s7_report_texts", r"SELECT unnest([text, text || chr(12) || 'a\f\\' || chr(12)]) AS text FROM documents")
 def s7(spark, d):
+    """Every text, and again with form feeds and backslashes in it."""
     path = shared_folder(spark)
-    W.write_texts(T.load(spark, d, "documents"), path)
-    return spark.read.option("lineSep", "\f").text(path).select(F.col("value").alias("text"))
+    docs = T.load(spark, d, "documents")
+    W.write_texts(docs.select(F.explode(F.array("text", F.concat("text", F.lit("\fa\\f\\\\\f")))).alias("text")), path)
+    return W.read_texts(spark, path)
 
 
 @query("s8_tabular_reports", "SELECT s_suppkey::VARCHAR AS clave, s_name AS nombre FROM supplier")
@@ -149,12 +152,14 @@ def s8(spark, d):
     return spark.read.csv(path, schema="clave string, nombre string")
 
 
+INGEST_SQL = f"""
+    SELECT file_id, chunk_index, text, language FROM (SELECT file_id, chunk_index, text FROM chunks) JOIN
+      (SELECT doc_id AS file_id, {sql_language('text', '')} AS language FROM documents) USING (file_id)"""
+
+
 @query(
     "r1_incremental_ingest",
-    f"""SELECT file_id, chunk_index, text, language FROM (SELECT file_id, chunk_index, text FROM chunks) JOIN
-          (SELECT file_id, {sql_language('sample')} AS language FROM
-            (SELECT file_id, string_agg(text, ' ' ORDER BY chunk_index) AS sample FROM chunks
-             WHERE chunk_index < 3 GROUP BY file_id)) USING (file_id)""",
+    INGEST_SQL,
 )
 def r1(spark, d):
     table, checkpoint = shared_folder(spark), shared_folder(spark)
@@ -165,9 +170,9 @@ def r1(spark, d):
     return spark.read.parquet(table).select("file_id", "chunk_index", "text", "language")
 
 
-@query("r1_batch_ingest")
+@query("r1_batch_ingest", INGEST_SQL)
 def r1_batch(spark, d):
-    return K.chunk_files(file_texts(spark, d))
+    return K.chunk_files(file_texts(spark, d)).select("file_id", "chunk_index", "text", "language")
 
 
 @query(

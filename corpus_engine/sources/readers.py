@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpus_engine.functions.records import elements, parse_whole, row_text
 from corpus_engine.functions.text import NO_VALUE, strip
@@ -39,13 +42,19 @@ def read_json_entries(spark: SparkSession, path: str, lines: bool = False) -> tu
     return json_entries(texts.filter(strip(F.col("value")) != ""), "value")
 
 
-def read_csv_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """CSV with a header, every column a string, missing values as ``(sin valor)``.
+def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header, every column a string, missing values as ``(sin valor)``; and ragged rows (``line``, ``cells``).
 
-    ``multiline`` allows line ends inside quotes; such files are not split.
+    Quoted fields may hold line ends; ``multiline=False`` splits large files that have none. Rows with more or
+    fewer cells than the header are handed on as they were written.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
-    return fill_missing(rows)
+    options = dict(header=True, escape='"', multiLine=multiline)
+    names = spark.read.csv(path, **options).columns
+    ragged = "_ragged_row"
+    schema = StructType([StructField(n, StringType()) for n in [*names, ragged]])
+    rows = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=ragged, enforceSchema=False, **options)
+    broken = rows.filter(F.col(ragged).isNotNull()).select(F.col(ragged).alias("line"), F.array(*names).alias("cells"))
+    return fill_missing(rows.filter(F.col(ragged).isNull()).drop(ragged)), broken
 
 
 def fill_missing(rows: DataFrame) -> DataFrame:
@@ -70,6 +79,15 @@ def extension(filename: Column) -> Column:
     return F.lower(F.element_at(F.split(filename, r"\."), -1))
 
 
+# How files begin whose text has to be taken out by another program first.
+BINARY_STARTS = [b"%PDF-", b"PK\x03\x04", b"\xd0\xcf\x11\xe0"]
+
+
+def is_binary(content: Column) -> Column:
+    """Whether the bytes are a PDF, a zipped office file or an old one."""
+    return reduce(lambda a, b: a | b, [F.substring(content, 1, len(s)) == F.lit(s) for s in BINARY_STARTS])
+
+
 def route_files(files: DataFrame, filename: str, content: str) -> tuple[DataFrame, DataFrame]:
     """Files with ``route`` and ``text``, and rejected files with the ``reason``."""
     pairs = [F.lit(x) for pair in ROUTES.items() for x in pair]
@@ -81,6 +99,7 @@ def route_files(files: DataFrame, filename: str, content: str) -> tuple[DataFram
     )
     reason = (
         F.when(F.col("route").isNull(), "unsupported format")
+        .when(is_binary(F.col(content)), "text not extracted")
         .when(~F.is_valid_utf8(F.col(content).cast("string")), "not UTF-8")
         .when(F.col("text").isNull(), "empty")
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_engine.session import cut_lineage
+
 
 def chunk_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Chunk rows with the metadata record of their file."""
@@ -28,21 +30,33 @@ def write_geojson(features: DataFrame, path: str, order: list[str], feature: str
 
     Header, features and footer are rows sorted by range, so no task holds the whole collection.
     """
-    first = features.orderBy(*order).limit(1).select(*order).withColumn("_first", F.lit(True))
-    marked = features.join(first, order, "left")
-    line = F.when(F.col("_first"), F.col(feature)).otherwise(F.concat(F.lit(","), feature))
-    body = marked.select(F.lit(1).alias("_part"), *order, line.alias("value"))
-    spark = features.sparkSession
-    kinds = {c: features.schema[c].dataType for c in order}
-    ends = spark.createDataFrame(
-        [(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "_part int, value string"
-    ).select("_part", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "value")
-    body.unionByName(ends).orderBy("_part", *order).select("value").write.text(path)
+    # The place in the order is stored, so that exactly one feature is the first, also among equal or null keys.
+    rows = features.orderBy(*order, feature).select(F.monotonically_increasing_id().alias("_place"), F.col(feature).alias("value"))
+    rows = cut_lineage(rows)
+    first = rows.agg(F.min("_place")).first()[0]
+    line = F.when(F.col("_place") == first, F.col("value")).otherwise(F.concat(F.lit(","), "value"))
+    body = rows.select(F.lit(1).alias("_part"), "_place", line.alias("value"))
+    ends = features.sparkSession.createDataFrame(
+        [(0, 0, '{"type":"FeatureCollection","features":['), (2, 0, "]}")], "_part int, _place long, value string"
+    )
+    body.unionByName(ends).orderBy("_part", "_place").select("value").write.text(path)
 
 
 def write_texts(texts: DataFrame, path: str, text: str = "text") -> None:
-    """Report texts, one row each, separated by a form feed so that they keep their line ends."""
-    texts.select(text).write.option("lineSep", "\f").text(path)
+    """Report texts, one row each, separated by a form feed so that they keep their line ends.
+
+    A form feed inside a text is written as ``\\f`` and a backslash as two; ``read_texts`` takes that back.
+    """
+    safe = F.replace(F.replace(F.col(text), F.lit("\\"), F.lit("\\\\")), F.lit("\f"), F.lit("\\f"))
+    texts.select(safe.alias(text)).write.option("lineSep", "\f").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``text`` rows that ``write_texts`` has written."""
+    written = spark.read.option("lineSep", "\f").text(path)
+    mark = "\x00"  # stands for a backslash while the form feeds are put back
+    plain = F.replace(F.replace(F.col("value"), F.lit("\\\\"), F.lit(mark)), F.lit("\\f"), F.lit("\f"))
+    return written.select(F.replace(plain, F.lit(mark), F.lit("\\")).alias("text"))
 
 
 def write_tabular(lines: DataFrame, path: str, line: str = "line") -> None:

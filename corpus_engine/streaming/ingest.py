@@ -8,28 +8,36 @@ from pyspark.sql import functions as F
 from corpus_engine.operators.chunks import chunk_files
 
 
+LEDGER = "file_id long, batch_id long"
+
+
+def ledger_of(table: str) -> str:
+    """Folder with one row per stored file, beside the chunk table."""
+    return f"{table.rstrip('/')}_files"
+
+
 def stored_files(spark: SparkSession, table: str, before: int) -> DataFrame:
     """Ids of files that earlier batches stored; a batch that runs again does not see itself."""
-    try:
-        rows = spark.read.parquet(table)
-    except Exception as exc:  # the table does not exist before its first batch
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        return spark.createDataFrame([], "file_id long")
-    return rows.filter(F.col("batch_id") < before).select(F.col("file_id").cast("long").alias("file_id")).distinct()
+    rows = spark.read.schema(LEDGER).parquet(ledger_of(table))
+    return rows.filter(F.col("batch_id") < before).select("file_id").distinct()
 
 
 def ingest(texts: DataFrame, table: str, checkpoint: str):
     """Starts a query that chunks the streamed (``file_id``, ``text``) rows into ``table``.
 
     A batch writes its own folder and replaces it when it is run again after a failure; files that an
-    earlier batch stored are left out. So every file is stored exactly once.
+    earlier batch stored are left out, by a ledger with one row per file. So every file is stored exactly
+    once; of several texts with one id the smallest counts, in any run.
     """
+    spark = texts.sparkSession
+    # The ledger begins with an empty batch, so that it can be read before anything is stored.
+    spark.createDataFrame([], "file_id long").write.mode("ignore").parquet(f"{ledger_of(table)}/batch_id=-1")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         done = stored_files(batch.sparkSession, table, batch_id)
-        fresh = batch.dropDuplicates(["file_id"]).join(done, "file_id", "left_anti")
+        fresh = batch.groupBy("file_id").agg(F.min("text").alias("text")).join(done, "file_id", "left_anti")
         chunk_files(fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        fresh.select("file_id").write.mode("overwrite").parquet(f"{ledger_of(table)}/batch_id={batch_id}")
 
     return (
         texts.writeStream.foreachBatch(store)

@@ -28,7 +28,11 @@ def test_json_files(spark, tmp_path):
 
 def test_csv_file(spark, tmp_path):
     (tmp_path / "t.csv").write_text('clave,nota_larga\n007,"dos ""x"", y"\n8,NA\n')
-    rows = R.csv_texts(R.read_csv_rows(spark, str(tmp_path))).orderBy("clave").collect()
+    (tmp_path / "u.csv").write_text('clave,nota_larga\n9,"dos\nlíneas"\n1,a,b\n2\n')
+    good, ragged = R.read_csv_rows(spark, str(tmp_path))
+    assert sorted(r.line.strip() for r in ragged.collect()) == ["1,a,b", "2"]
+    assert [r.nota_larga for r in good.filter("clave = '9'").collect()] == ["dos\nlíneas"]
+    rows = R.csv_texts(good.filter("clave <> '9'")).orderBy("clave").collect()
     assert [tuple(r) for r in rows] == [
         ("007", 'dos "x", y', 'Clave: 007\nNota larga: dos "x", y'),
         ("8", NO_VALUE, f"Clave: 8\nNota larga: {NO_VALUE}"),
@@ -40,10 +44,12 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe malo")
     (tmp_path / "c.txt").write_bytes(b"  \n")
     (tmp_path / "d.exe").write_bytes(b"x")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF-1.4 plain looking")
+    (tmp_path / "f.pdf").write_bytes(b"extracted before")
     good, rejected = R.read_text_files(spark, str(tmp_path))
-    assert [(r["filename"], r["text"]) for r in good.collect()] == [("a.TXT", "ñandú")]
+    assert [(r["filename"], r["text"]) for r in good.orderBy("filename").collect()] == [("a.TXT", "ñandú"), ("f.pdf", "extracted before")]
     assert {r["filename"]: r["reason"] for r in rejected.collect()} == {
-        "b.txt": "not UTF-8", "c.txt": "empty", "d.exe": "unsupported format",
+        "b.txt": "not UTF-8", "c.txt": "empty", "d.exe": "unsupported format", "e.pdf": "text not extracted",
     }
 
 
@@ -55,6 +61,34 @@ def test_geojson_parts_join_to_one_document(spark, tmp_path):
     assert doc["type"] == "FeatureCollection" and [f["id"] for f in doc["features"]] == list(range(50))
 
 
+def test_geojson_with_equal_and_null_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f'{{"k":{i}}}') for i, k in enumerate([1, 1, None, None, 2])], "id int, feature string")
+    W.write_geojson(rows.repartition(3), str(tmp_path / "g"), ["id"])
+    text = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "g" / "part-*"))))
+    assert sorted(f["k"] for f in json.loads(text)["features"]) == [0, 1, 2, 3, 4]
+
+
+def test_texts_keep_form_feeds(spark, tmp_path):
+    texts = ["a\fb", "c\\f", "\\\f\\", "", "x\ny"]
+    W.write_texts(spark.createDataFrame([(t,) for t in texts], "text string"), str(tmp_path / "t"))
+    assert sorted(r.text for r in W.read_texts(spark, str(tmp_path / "t")).collect()) == sorted(texts)
+
+
+def test_long_texts_are_embedded_whole_or_not_at_all(spark):
+    df = spark.createDataFrame([(1, "a " * 20_000 + "b"), (2, "a " * 20_000 + "c")], "id int, t string")
+    a, b = (r.embedding for r in I.embed(df, "t", I.hashed_words(64), size=64).orderBy("id").collect())
+    assert a != b
+    assert [r.embedding for r in I.embed(df, "t", I.hashed_words(64), size=64, most_chars=100).collect()] == [None, None]
+
+
+def test_ingest_chooses_among_texts_of_one_id(spark, tmp_path):
+    src, table, check = (str(tmp_path / n) for n in ("src", "table", "check"))
+    spark.createDataFrame([(1, "zeta"), (1, "alfa"), (2, "beta")], "file_id long, text string").repartition(3).write.parquet(src)
+    arriving = spark.readStream.schema("file_id long, text string").parquet(src)
+    ingest.ingest(arriving, table, check).awaitTermination()
+    assert sorted((r.file_id, r.text) for r in spark.read.parquet(table).collect()) == [(1, "alfa"), (2, "beta")]
+
+
 def test_chunk_table_by_language(spark, tmp_path):
     texts = spark.createDataFrame([(1, "de la que el en y los " * 90), (2, "the cat and the dog is " * 90)], "file_id long, text string")
     files = spark.createDataFrame([(1, "a.txt", "text/plain"), (2, "b.txt", "text/plain")], "file_id long, filename string, document_type string")
