@@ -89,19 +89,23 @@ def found_all(c: Column, patterns: list[str]) -> Column:
     return F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in patterns])
 
 
-def keywords(c: Column) -> Column:
-    """Up to ten distinct list items of 3 to 30 characters, lower case."""
+def first_of(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def keywords(c: Column, most: int | None = None) -> Column:
+    """Distinct list items of 3 to 30 characters, lower case; all unless ``most`` is given."""
     items = F.transform(found_all(c, KEYWORD_PATTERNS), lambda k: F.lower(strip(k)))
-    return F.slice(F.array_distinct(F.filter(items, lambda k: F.length(k).between(3, 30))), 1, 10)
+    return first_of(F.array_distinct(F.filter(items, lambda k: F.length(k).between(3, 30))), most)
 
 
-def creators(c: Column) -> Column:
-    """Up to five distinct names; the first three words when no name is found."""
+def creators(c: Column, most: int | None = None) -> Column:
+    """Distinct names, all unless ``most`` is given; the first three words when no name is found."""
     names = F.transform(found_all(c, CREATOR_PATTERNS), lambda n: F.regexp_replace(strip(n), "[,.]+$", ""))
     named = F.array_distinct(F.filter(names, lambda n: F.length(n).between(4, 99)))
     opening = F.array_join(F.slice(words(c), 1, 3), " ")
     fallback = F.array(F.when(opening != "", opening).otherwise(NO_CREATOR))
-    return F.slice(F.when(F.size(named) > 0, named).otherwise(fallback), 1, 5)
+    return first_of(F.when(F.size(named) > 0, named).otherwise(fallback), most)
 
 
 def generated_identifier(key: Column) -> Column:
@@ -140,9 +144,9 @@ def iso_date(c: Column, run_date: str) -> Column:
 
 
 def compact_date(c: Column) -> Column:
-    """``D:YYYYMMDD…`` as ``YYYY-MM-DD``, null for any other text."""
+    """``D:YYYYMMDD…`` as ``YYYY-MM-DD``, null for any other text, one without month or day included."""
     parts = [F.substr(c, F.lit(at), F.lit(n)) for at, n in ((3, 4), (7, 2), (9, 2))]
-    return F.when(c.startswith("D:"), F.concat_ws("-", *parts))
+    return F.when(c.rlike(r"^D:\d{8}"), F.concat_ws("-", *parts))
 
 
 def by_alias(low: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -194,12 +198,20 @@ def read_answers(df: DataFrame, run_date: str, key: str) -> DataFrame:
     return df.withColumns({name: read(answered(F.col(name))) for name, read in readers.items()})
 
 
-def merge(df: DataFrame, run_date: str, key: str) -> DataFrame:
+def merge(
+    df: DataFrame, run_date: str, key: str, most_creators: int | None = None, most_subjects: int | None = None
+) -> DataFrame:
     """The ten fields from file metadata and read answers.
 
     The longer title wins; description, date, identifier and type prefer the answer, publisher,
-    rights and language the file; names and keywords are united in that order.
+    rights and language the file; names and keywords are united in that order, all of them unless a
+    number is given. Columns ``file_rights``, ``file_identifier`` and ``file_type`` are read where
+    the table has them.
     """
+
+    def from_file(name: str) -> Column:
+        return filled(F.col(name)) if name in df.columns else F.lit(None).cast("string")
+
     none = F.array().cast(NO_STRINGS)
     file_title, model_title = filled(F.col("file_title")), filled(F.col("model_title"))
     longer = F.when(F.length(model_title) > F.length(file_title), model_title)
@@ -215,14 +227,14 @@ def merge(df: DataFrame, run_date: str, key: str) -> DataFrame:
             filled(F.col("model_description")), filled(F.col("file_description")), F.lit(NO_DESCRIPTION)
         ).alias("description"),
         F.coalesce("model_date", compact_date(F.col("file_date")), F.lit(run_date)).alias("dateIssued"),
-        F.coalesce("model_type", F.lit("text")).alias("resourceType"),
-        F.coalesce("model_identifier", generated_identifier(F.col(key))).alias("identifier"),
-        F.slice(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(NO_CREATOR))), 1, 5).alias("creator"),
+        F.coalesce("model_type", resource_type(from_file("file_type")), F.lit("text")).alias("resourceType"),
+        F.coalesce("model_identifier", from_file("file_identifier"), generated_identifier(F.col(key))).alias("identifier"),
+        first_of(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(NO_CREATOR))), most_creators).alias("creator"),
         F.coalesce(filled(F.col("file_publisher")), filled(F.col("model_publisher")), F.lit(NO_PUBLISHER)).alias(
             "publisher"
         ),
-        F.slice(subject, 1, 10).alias("subject"),
-        F.coalesce("model_rights", F.lit(ALL_RIGHTS)).alias("rights"),
+        first_of(subject, most_subjects).alias("subject"),
+        F.coalesce(license_code(from_file("file_rights")), "model_rights", F.lit(ALL_RIGHTS)).alias("rights"),
         F.coalesce(language_code(filled(F.col("file_language"))), "model_language", F.lit("es")).alias("language"),
     )
 

@@ -145,12 +145,16 @@ def files_per_context(contexts: DataFrame, context_files: DataFrame) -> DataFram
     return contexts.join(counts, "context_id", "left").fillna(0, ["n_files"])
 
 
-def file_kind_counts(context_files: DataFrame, files: DataFrame) -> DataFrame:
-    """Files, structured files and text files per context, and the searches they call for."""
+def file_kind_counts(contexts: DataFrame, context_files: DataFrame, files: DataFrame) -> DataFrame:
+    """Files, structured files and text files per context, and the searches they call for.
+
+    A context without files has none of either and is searched as text.
+    """
     kinds = context_files.join(files.select("file_id", "document_type"), "file_id")
     out = kinds.groupBy("context_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(is_structured()).alias("n_json")
     )
+    out = contexts.select("context_id").join(out, "context_id", "left").fillna(0, ["total", "n_json"])
     return out.withColumn("n_text", F.col("total") - F.col("n_json")).select(
         "*",
         ((F.col("n_text") > 0) | (F.col("n_json") == 0)).alias("search_text"),

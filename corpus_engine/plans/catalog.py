@@ -221,11 +221,12 @@ def a2(spark, d):
     "a5_file_kind_counts",
     """SELECT context_id, total, n_json, total - n_json AS n_text,
               total - n_json > 0 OR n_json = 0 AS search_text, n_json > 0 AS search_json
-       FROM (SELECT context_id, count(*) AS total, count(*) FILTER (WHERE ext = 'json') AS n_json
-             FROM context_files JOIN files USING (file_id) GROUP BY context_id)""",
+       FROM (SELECT context_id, count(file_id) AS total, count(*) FILTER (WHERE ext = 'json') AS n_json
+             FROM contexts LEFT JOIN (SELECT * FROM context_files JOIN files USING (file_id)) USING (context_id)
+             GROUP BY context_id)""",
 )
 def a5(spark, d):
-    return C.file_kind_counts(T.context_files(spark, d), T.files(spark, d))
+    return C.file_kind_counts(T.contexts(spark, d), T.context_files(spark, d), T.files(spark, d))
 
 
 FOREIGN_SQL = """

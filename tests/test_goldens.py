@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_engine.functions import markup as K
+from corpus_engine.functions import metadata as M
 from corpus_engine.functions import records as R
 from corpus_engine.functions import text as X
 from corpus_engine.functions.language import guess_language
@@ -101,9 +103,63 @@ def test_walk_finds_every_path(record):
     assert sorted((r["path"], r["t"]) for r in nodes.collect()) == PATHS
 
 
-def test_walk_refuses_to_cut_deep_records(record):
-    with pytest.raises(Exception, match="nested deeper than 2"):
-        R.walk(record, "v", [], max_depth=2).collect()
+def test_walk_hands_on_deep_nodes_whole(record):
+    nodes = R.walk(record, "v", [], max_depth=1).withColumn("json", F.to_json("value"))
+    closed = {r["path"]: json.loads(r["json"]) for r in nodes.filter("unopened").collect()}
+    assert closed == {k: v for k, v in RECORD.items() if isinstance(v, (dict, list)) and v}
+    assert R.walk(record, "v", []).filter("unopened").count() == 0
+
+
+def test_leaves_of_any_text():
+    text = '{"b": 12345678.90, "a": [[1, {"x": true}], []], "c": null, "n": 1e3, "z": {}, "it\'s": "q"}'
+    assert R.found_leaves(text) == [
+        ("b", "b", "number", "12345678.90"), ("a.0.0", "a.array.array", "integer", "1"),
+        ("a.0.1.x", "a.array.array.x", "boolean", "True"), ("c", "c", "null", None), ("n", "n", "number", "1e3"),
+        ("it's", "it's", "string", "q"),
+    ]
+    assert R.found_leaves("[3]") == [("0", "array", "integer", "3")] and R.found_leaves('"s"') == [("", "", "string", "s")]
+    assert R.found_leaves(None) is None and R.found_leaves("{") is None and R.found_leaves("[" * 100_000) is None
+
+
+def test_keys_with_quotes_and_large_fractions(spark):
+    doc = {"it's": 1, 'a"b': 2, """x'y"z""": {"k": 3}, "n": 12345678.9}
+    df = spark.createDataFrame([(json.dumps(doc),)], "doc string").select(F.parse_json("doc").alias("v"), F.from_json("doc", "n double").alias("rec"))
+    got = df.select(*[R.at_path(F.col("v"), path, "int") for path in (["it's"], ['a"b'], ["""x'y"z""", "k"], ["no", "k"])]).first()
+    assert tuple(got) == (1, 2, 3, None)
+    assert df.select(R.record_text(F.col("rec"), "n double")).first()[0] == "N: 12345678.9"
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [("mayor a 1,000,000", 1e6), ("mayor a 1.500.000,50", 1500000.5), ("mayor a 3 mil", 3000.0), ("mayor a 2,5", 2.5),
+     ("mayor a 1,234.5", 1234.5), ("mayor a 100", 100.0), ("mayor a 2 millones", 2e6), ("mayor a 12.75 pesos", 12.75)],
+)
+def test_numbers_in_questions(spark, text, value):
+    df = spark.createDataFrame([("quiero los registros con costo " + text,)], "text string")
+    found = search_terms(df, "text").first()["search"]
+    assert found["quantity_filter"]["value"] == value
+    assert found["search_terms"] == (["pesos"] if "pesos" in text else [])
+
+
+def test_dates_without_a_day_are_none(spark):
+    df = spark.createDataFrame([("D:2024",), ("D:20240131",), ("D:2024013",)], "d string")
+    assert [r[0] for r in df.select(M.compact_date(F.col("d"))).collect()] == [None, "2024-01-31", None]
+
+
+def test_packed_answers_of_any_length(spark):
+    rows = ",".join(f'"{i},name {i}"' for i in range(40))
+    df = spark.createDataFrame([(rows,), ('a,b\n"x, y","z, w"',), ('"one field"',), (None,)], "t string")
+    got = [r[0] for r in df.select(K.csv_lines(F.col("t"))).collect()]
+    assert got[0] == [f"{i},name {i}" for i in range(40)] and got[1] == ["a,b", '"x, y","z, w"'] and got[2] == ['"one field"']
+
+
+def test_merge_reads_the_file(spark):
+    columns = "id int, file_title string, model_title string, file_creator string, model_creator array<string>, file_keywords string, model_keywords array<string>, model_description string, file_description string, model_date string, file_date string, model_type string, model_identifier string, file_publisher string, model_publisher string, model_rights string, file_language string, model_language string, file_rights string, file_identifier string, file_type string"
+    many = ",".join(f"word{i}" for i in range(14))
+    row = (1, "t", None, "a", [f"n{i}" for i in range(8)], many, None, None, None, None, None, None, None, None, None, None, None, None, "CC BY 4.0", "id-7", "imagen")
+    got = M.merge(spark.createDataFrame([row], columns), "2024-01-01", "id").first()
+    assert got["identifier"] == "id-7" and got["rights"] != M.ALL_RIGHTS and len(got["creator"]) == 9 and len(got["subject"]) == 14
+    assert len(M.merge(spark.createDataFrame([row], columns), "2024-01-01", "id", 5, 10).first()["subject"]) == 10
 
 
 def test_flat_record(record):
