@@ -20,22 +20,24 @@ def local_session(cores: int = 8, memory: str = "16g", partitions: int | None =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpus-"))
         .getOrCreate()
     )
 
 
-_local_folder: str | None = None
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Fresh folder under ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    global _local_folder
+    """Fresh folder under ``spark.checkpoint.dir``.
+
+    Where that is unset it is set, but only on a master that is one process (``local[...]``); a cluster must name
+    a folder that every executor can reach.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        _local_folder = _local_folder or tempfile.mkdtemp(prefix="corpus-")
-        base = _local_folder
+        base = tempfile.mkdtemp(prefix="corpus-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -25,12 +25,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_spread(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """Columns of a table that costly column work follows on.
 
-    A file too small to be split would leave that work to one task, so its rows are dealt out to
-    the cores; an input that already comes in enough partitions is not moved.
+    A table of fewer files than cores would leave that work to few tasks, so its rows are dealt out to
+    the cores; a table of more files is not moved.
     """
-    df = load(spark, sf_dir, name).select(*columns)
+    df = load(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = len(df.inputFiles()) < cores
+    return df.select(*columns).repartition(cores) if few else df.select(*columns)
 
 
 def pick(options: list[str], index: Column) -> Column:
