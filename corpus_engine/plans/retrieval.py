@@ -41,15 +41,17 @@ def scope_of(bridge, key):
     return bridge.select(F.col(key).alias("qid"), "file_id")
 
 
-def context_hits(spark, d, **cuts):
+def context_hits(spark, d, store=None, **cuts):
     scope = scope_of(T.context_files(spark, d), "context_id")
-    return R.search(T.context_questions(spark, d), scope, T.chunk_store(spark, d), **cuts)
+    store = T.chunk_store(spark, d) if store is None else store
+    return R.search(T.context_questions(spark, d), scope, store, files=T.files(spark, d), **cuts)
 
 
 def evidence(spark, d):
     scope = scope_of(T.report_files(spark, d), "report_id")
-    hits = R.search(T.report_questions(spark, d), scope, T.chunk_store(spark, d), k=5)
-    return R.evidence_items(hits, T.chunks(spark, d), T.files(spark, d))
+    store = T.stored_chunks(spark, d)
+    hits = R.search(T.report_questions(spark, d), scope, store, k=5, files=T.files(spark, d))
+    return R.evidence_items(hits, store, T.files(spark, d))
 
 
 def rounded(df, *names):
@@ -107,7 +109,8 @@ def j11(spark, d):
 
 @query("j11_knn_by_cells", KNN_SQL)
 def j11_cells(spark, d):
-    return rounded(N.knn_cells(*knn_sides(spark, d), k=5), "distance")
+    """The same with many small cells and blocks."""
+    return rounded(N.knn_join(*knn_sides(spark, d), k=5, pivots=64, block_rows=256), "distance")
 
 
 @query(
@@ -147,7 +150,7 @@ def w6(spark, d):
     scope = scope_of(T.context_files(spark, d), "context_id")
     store = T.chunk_store(spark, d).select("file_id", "chunk_index", "language")
     questions = T.context_questions(spark, d).select("qid", "qlang")
-    return R.in_scope(R.with_preference(questions, scope, store), scope, store)
+    return R.in_scope(R.with_preference(questions, scope, T.files(spark, d)), scope, store)
 
 
 QUESTION = [0.125] * 64
@@ -202,8 +205,8 @@ CONTEXT_SQL = """
 
 @query("a10_context_block", CONTEXT_SQL, CTES)
 def a10(spark, d):
-    hits = context_hits(spark, d, k=30)
-    return R.context_block(hits, T.chunks(spark, d), T.files(spark, d))
+    store = T.stored_chunks(spark, d)
+    return R.context_block(context_hits(spark, d, store, k=30), store, T.files(spark, d))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.chunking import fixed_windows
+from corpus_engine.session import cut_lineage
 
 # Extension by doc_id % 5, and its media type.
 EXTENSIONS = ["json", "csv", "pdf", "docx", "txt"]
@@ -117,6 +118,11 @@ def chunk_store(spark: SparkSession, d: str) -> DataFrame:
     return cut.withColumn("vec_id", vec_id).join(emb.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table as an ingest would have stored it: texts cut and joined with their vectors once."""
+    return cut_lineage(chunk_store(spark, d))
+
+
 def question_vectors(asked: DataFrame, emb: DataFrame) -> DataFrame:
     """A vector and a language (by ``qid % 4``) for every question id."""
     placed = asked.select(
