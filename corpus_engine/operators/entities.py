@@ -44,13 +44,21 @@ def parse_answers(answers: DataFrame, response: str, field: str) -> tuple[DataFr
     The items are the list in ``field`` of an object, or a bare list; an object without the field
     has none.
     """
-    parsed = answers.withColumn("answer", parse_answer(F.col(response)))
+    # A generator's output is computed once, however many filters and columns name it.
+    parsed = answers.select("*", F.inline(F.array(F.struct(parse_answer(F.col(response)).alias("answer")))))
     held = F.try_variant_get("answer", f"$.{field}", "array<variant>")
     items = F.coalesce(held, elements(F.col("answer")), F.array().cast("array<variant>"))
     good = parsed.filter(F.col("answer").isNotNull()).withColumn("items", items).drop("answer")
     return good, parsed.filter(F.col("answer").isNull()).drop("answer")
 
 
+def entity_rows(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per item of parsed answers with all that cleaning reads; what an item lacks is null."""
+    rows = parsed.select(*keep, F.posexplode("items").alias("place", "item"))
+    texts = [F.try_variant_get("item", f"$.{n}", "string").alias(n) for n in ("name", "type", "context", "estado", "pais")]
+    return rows.select(*keep, "place", *texts, F.try_variant_get("item", "$.coordenadas", "array<double>").alias("coordenadas"))
+
+
 def harmonised_type(kind: Column, requested: list[str] = DEFAULT_TYPES) -> Column:
     """Type among the requested ones; null when it has no place there."""
     low = F.lower(F.trim(kind))

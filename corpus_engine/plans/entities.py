@@ -173,6 +173,21 @@ def x8(spark, d):
     )
 
 
+@query(
+    "x8_answers_to_places",
+    "SELECT pos, name, type, context, estado, pais, coordenadas[1] AS lon FROM cleaned",
+    CTES,
+)
+def x8_places(spark, d):
+    """From answers in prose and JSON to cleaned places: parsing, types, plausibility, evidence, first wins, defaults."""
+    given = ["name", "type", "context", "estado", "pais", "coordenadas"]
+    listed = F.to_json(F.struct(F.array(F.struct(*given)).alias("entities")))
+    answers = T.model_entities(spark, d).select(*ORDER, F.concat(F.lit("Lugares: "), listed, F.lit(" Eso es todo.")).alias("response"))
+    good, _ = E.parse_answers(answers, "response", "entities")
+    places = E.clean_entities(E.entity_rows(good, ORDER), ORDER, focus="Chile")
+    return places.select(*KEEP, "context", "estado", "pais", F.get("coordenadas", F.lit(0)).alias("lon"))
+
+
 @query("x8_quarantine", "SELECT id, response FROM model_responses WHERE id % 6 IN (4, 5)")
 def x8_quarantine(spark, d):
     return E.parse_answers(T.model_responses(spark, d), "response", "entities")[1]

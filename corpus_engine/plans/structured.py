@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpus_engine import tables as T
 from corpus_engine.functions import text as X
 from corpus_engine.functions.questions import search_terms
+from corpus_engine.functions.text import bind
 from corpus_engine.operators import catalog as C
 from corpus_engine.operators import structured as S
 from corpus_engine.plans.records import ID, ID_SQL, sql_resembles, sql_trigrams, variants
@@ -79,10 +80,15 @@ def p12(spark, d):
     "WHERE total >= 450000 OR cant0 = 7 OR cant1 = 7",
 )
 def p13(spark, d):
-    big = S.some_leaf(F.col("v"), "total", S.compares(">=", 450000))
-    seven = S.some_leaf(F.col("v"), "partidas[].cantidad", S.compares("=", 7))
-    rows = variants(spark, d).select(*ID, big.alias("big"), seven.alias("seven"))
-    return rows.filter(F.col("big") | F.col("seven"))
+    def big(v):
+        return S.some_leaf(v, "total", S.compares(">=", 450000))
+
+    def seven(v):
+        return S.some_leaf(v, "partidas[].cantidad", S.compares("=", 7))
+
+    # A generator's output is computed once for the filter and the columns.
+    tested = F.array(bind(F.col("v"), lambda v: F.struct(big(v).alias("big"), seven(v).alias("seven"))))
+    return variants(spark, d).select(*ID, F.inline(tested)).filter(F.col("big") | F.col("seven"))
 
 
 @query(
