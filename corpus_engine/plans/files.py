@@ -11,6 +11,8 @@ from corpus_engine import tables as T
 from corpus_engine.functions import markup as M
 from corpus_engine.operators import chunks as K
 from corpus_engine.operators import entities as E
+from corpus_engine.operators import inference
+from corpus_engine.operators import ingest as G
 from corpus_engine.plans import entities as EP
 from corpus_engine.plans.chunks import sql_language
 from corpus_engine.plans.chunks import texts as file_texts
@@ -89,6 +91,19 @@ def s3(spark, d):
     return file_contents(spark, d).select("doc_id", R.decoded(F.col("content")).alias("text"))
 
 
+@query(
+    "s3_files_on_disk",
+    r"SELECT sum(length(regexp_replace(text, '\s', '', 'g')))::BIGINT AS n_chars, 0::BIGINT AS n_rejected FROM documents",
+)
+def s3_files(spark, d):
+    """All texts written as files and read back through the router."""
+    path = shared_folder(spark)
+    T.load(spark, d, "documents").select("text").write.text(path)
+    good, rejected = R.read_text_files(spark, path)
+    held = good.agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n_chars"))
+    return held.withColumn("n_rejected", rejected.agg(F.count(F.lit(1))).scalar())
+
+
 @query(
     "s4_format_routing",
     """SELECT doc_id, ['text', 'records', 'rows', 'text', 'text', NULL][doc_id % 6 + 1] AS route,
@@ -113,6 +128,57 @@ def s5(spark, d):
     return spark.read.parquet(path).select("file_id", "chunk_index", "language", "metadata.*")
 
 
+def all_formats(spark, d):
+    """A document as text, as a JSON list of two records, or as CSV with an odd row, by its number."""
+    k = F.col("doc_id")
+    records = F.concat(
+        F.lit('[{"doc_id": '), k.cast("string"), F.lit(', "importe": 12345678.90},\n {"fuente": {"nombre": "'), "source", F.lit('"}, "nada": null}]')
+    )
+    rows = F.concat(F.lit("doc_id,fuente_larga\n"), k.cast("string"), F.lit(',"a ""b"",\n c"\nNA,'), "source", F.lit("\n1,2,3\n"))
+    docs = T.load_spread(spark, d, "documents", ["doc_id", "text", "source"])
+    content = F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, records).otherwise(rows)
+    name = F.concat(k.cast("string"), F.lit("."), T.pick(["txt", "json", "csv"], k % 3))
+    files = docs.select(k.alias("file_id"), name.alias("filename"), T.pick(["text/plain", "application/json", "text/csv"], k % 3).alias("document_type"), content.cast("binary").alias("content"))
+    return R.route_files(files, "filename", "content")[0].drop("content")
+
+
+ALL_FORMATS_SQL = r"""
+    WITH trimmed AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, source FROM documents),
+    parts AS (
+      SELECT doc_id AS file_id, CAST(i AS INT) AS chunk_index, t[i * 800 + 1 : i * 800 + 1000] AS text, NULL AS text_json, '.txt' AS ext
+      FROM (SELECT doc_id, t, unnest(range(greatest(0, CAST(floor((length(t) - 201) / 800.0) AS BIGINT)) + 1)) AS i
+            FROM trimmed WHERE doc_id % 3 = 0 AND t <> '')
+      UNION ALL SELECT doc_id, 0, 'Doc id: ' || doc_id || chr(10) || 'Importe: 12345678.90',
+        '{"doc_id": ' || doc_id || ', "importe": 12345678.90}', '.json' FROM documents WHERE doc_id % 3 = 1
+      UNION ALL SELECT doc_id, 1, 'Fuente.nombre: ' || source, '{"fuente": {"nombre": "' || source || '"}, "nada": null}', '.json'
+        FROM documents WHERE doc_id % 3 = 1
+      UNION ALL SELECT doc_id, 0, 'Doc id: ' || doc_id || chr(10) || 'Fuente larga: a "b", c',
+        '{"doc_id": "' || doc_id || '", "fuente_larga": "a \"b\",\n c"}', '.csv' FROM documents WHERE doc_id % 3 = 2
+      UNION ALL SELECT doc_id, 1, 'Doc id: NA' || chr(10) || 'Fuente larga: ' || source,
+        '{"doc_id": "NA", "fuente_larga": "' || source || '"}', '.csv' FROM documents WHERE doc_id % 3 = 2
+      UNION ALL SELECT doc_id, 2, ' cells.0: 1' || chr(10) || ' cells.1: 2' || chr(10) || ' cells.2: 3', '{"_cells": ["1", "2", "3"]}', '.csv'
+        FROM documents WHERE doc_id % 3 = 2)
+    SELECT file_id, chunk_index, text, text_json, file_id || ext AS source, CAST(length(text) AS BIGINT) AS chunk_size, 64::INT AS dims FROM parts"""
+
+
+@query("s5_all_formats", ALL_FORMATS_SQL)
+def s5_all(spark, d):
+    """Files of three formats routed, cut, embedded, stored and read back."""
+    path = shared_folder(spark)
+    chunks, _ = G.chunk_table(all_formats(spark, d))
+    W.write_chunks(G.with_vectors(chunks, inference.hashed_words(64), 64), path)
+    back = spark.read.parquet(path)
+    return back.select(
+        "file_id",
+        "chunk_index",
+        "text",
+        "text_json",
+        F.get_json_object("metadata_json", "$.source").alias("source"),
+        F.get_json_object("metadata_json", "$.chunk_size").cast("long").alias("chunk_size"),
+        F.size("embedding").alias("dims"),
+    )
+
+
 @query(
     "s6_geojson",
     """SELECT pos, name, CASE WHEN coordenadas IS NULL THEN NULL ELSE 'Point' END AS shape, coordenadas[1] AS lon

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.operators.chunks import chunk_files
+from corpus_engine.operators.ingest import chunk_table
 
 
 LEDGER = "file_id long, batch_id long"
@@ -22,8 +23,15 @@ def stored_files(spark: SparkSession, table: str, before: int) -> DataFrame:
     return rows.filter(F.col("batch_id") < before).select("file_id").distinct()
 
 
+def cut_files(files: DataFrame) -> DataFrame:
+    """Chunk rows of a batch: routed files by their route, plain (``file_id``, ``text``) rows as texts."""
+    return chunk_table(files)[0] if "route" in files.columns else chunk_files(files)
+
+
 def ingest(texts: DataFrame, table: str, checkpoint: str):
-    """Starts a query that chunks the streamed (``file_id``, ``text``) rows into ``table``.
+    """Starts a query that chunks the streamed files into ``table``, as a batch would.
+
+    Rows are (``file_id``, ``text``), or routed files with ``filename, document_type, route`` as well.
 
     A batch writes its own folder and replaces it when it is run again after a failure; files that an
     earlier batch stored are left out, by a ledger with one row per file. So every file is stored exactly
@@ -35,8 +43,10 @@ def ingest(texts: DataFrame, table: str, checkpoint: str):
 
     def store(batch: DataFrame, batch_id: int) -> None:
         done = stored_files(batch.sparkSession, table, batch_id)
-        fresh = batch.groupBy("file_id").agg(F.min("text").alias("text")).join(done, "file_id", "left_anti")
-        chunk_files(fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        rest = [c for c in batch.columns if c not in ("file_id", "text")]
+        least = F.min(F.struct("text", *rest)).alias("least")
+        fresh = batch.groupBy("file_id").agg(least).select("file_id", "least.*").join(done, "file_id", "left_anti")
+        cut_files(fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
         fresh.select("file_id").write.mode("overwrite").parquet(f"{ledger_of(table)}/batch_id={batch_id}")
 
     return (

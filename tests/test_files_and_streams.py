@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpus_engine.functions.text import NO_VALUE
 from corpus_engine.operators import conversations as V
 from corpus_engine.operators import inference as I
+from corpus_engine.operators import ingest as G
 from corpus_engine.operators.chunks import chunk_files
 from corpus_engine.sources import readers as R
 from corpus_engine.sources import writers as W
@@ -128,6 +129,28 @@ def test_stream_turns_equal_batch(spark, tmp_path):
     assert got == sorted(map(tuple, V.recent_history(V.without_system(df)).select("conv_id", "history", "n_turns").collect()))
 
 
+def test_parts_of_files():
+    assert G.json_parts(' [ {"a": 1.50} ,\n[2], "x]" , null ] ') == ['{"a": 1.50}', "[2]", '"x]"', "null"]
+    assert G.json_parts('{"a": [1, 2]}\n') == ['{"a": [1, 2]}'] and G.json_parts("[]") == []
+    assert G.json_parts("") is None and G.json_parts("[1,") is None and G.json_parts("[1] 2") is None
+    assert G.csv_parts('a,b\n1,"x\ny"\n\n2\n') == ['{"a": "1", "b": "x\\ny"}', '{"_cells": ["2"]}']
+    assert G.csv_parts("") == [] and G.csv_parts("a,b") == []
+
+
+def test_stream_and_batch_cut_routed_files_alike(spark, tmp_path):
+    rows = [(1, "a.txt", "text/plain", "text", "hola " * 500), (2, "b.json", "application/json", "records", '[{"k": 1}, {"k": 2}]'),
+            (3, "c.csv", "text/csv", "rows", "a,b\n1,2\n"), (4, "d.json", "application/json", "records", "{")]
+    files = spark.createDataFrame(rows, "file_id long, filename string, document_type string, route string, text string")
+    src, table, check = (str(tmp_path / n) for n in ("src", "table", "check"))
+    files.write.parquet(src)
+    arriving = spark.readStream.schema(files.schema).parquet(src)
+    ingest.ingest(arriving, table, check).awaitTermination()
+    good, rejected = G.chunk_table(files)
+    got = spark.read.parquet(table).select(good.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, good.collect())) and good.count() == 6
+    assert [r.file_id for r in rejected.collect()] == [4]
+
+
 def test_embedding_hook(spark):
     def model(texts):
         if any("malo" in t for t in texts):
