@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
+#: The first 0 to 8 bytes of eight.
+_HEAD = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -38,17 +39,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and their inverses."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n + 1, _BASE, dtype=np.uint64), np.full(n + 1, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(2 * BLOCK_BYTES, 1 << max(n, 1).bit_length()))
+def run_hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes, eight bytes a step; what lies beyond the first 64 bytes is hashed in one piece."""
+    padded = np.concatenate([letters, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(letters) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = (end - start).astype(np.uint64) * _MIX2
+    rows, at = np.arange(len(start)), start
+    for _ in range(8):
+        left = end[rows] - at
+        part = out[rows] ^ (eight[at] & _HEAD[np.minimum(left, 8)])
+        part *= _MIX1
+        out[rows] = part ^ (part >> np.uint64(29))
+        more = left > 8
+        rows, at = rows[more], at[more] + 8
+        if not len(rows):
+            break
+    for i, begin in zip(rows, at):
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(letters[begin : end[i]]))
+    return mix(out)
 
 
 @dataclass
@@ -109,11 +117,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = BY_SPA
     if size:
         held = kind[start] != SPACE
         start, end = start[held], end[held]
-    up, down = powers(size)
-    total = np.zeros(size + 1, dtype=np.uint64)
-    letters = LOWER[data] if lower else data
-    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[:size], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MIX1)
+    hashed = run_hashes(LOWER[data] if lower else data, start, end)
     return Words(n, data, offsets, hashed, start, end, kind[start] if size else start.astype(np.uint8), np.searchsorted(start, offsets))
 
 
