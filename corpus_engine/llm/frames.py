@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +20,18 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Queries that run inside hand texts to Python in batches of so many rows, which bounds what a task holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ``[\\x20\\x09-\\x0D]``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")

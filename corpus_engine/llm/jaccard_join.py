@@ -4,12 +4,17 @@ Shingles are put in one order for all documents: by the count of a sketch of fix
 that common ones come last. With similarity at least ``t``, two sets of which each has at least ``ceil(t * size)``
 shingles in common share ``l`` tokens in their prefixes of ``size - ceil(t * size) + l``. Every document chooses its own ``l``
 by the estimated number of candidates: a longer prefix has to share more tokens, and a pair needs the smaller of its
-two ``l``. Candidates are verified exactly on the whole sets.
+two ``l``. A token that stands so late in either set that what follows can't make up the overlap counts for nothing.
+Candidates are verified exactly on the whole sets.
 
 Equal sets are one class from the start. Large groups of near copies are never written out as pairs: members of a
 token's list are first compared with one leader of the list, and linked ones fall into one component. Only lists
 that still hold different components are compared further, first the centres of their groups; the triangle
 inequality (1 - similarity is a distance) leaves out members that can't be linked, and the rest are compared one by one.
+
+Before a pair's texts are fetched, its signatures are compared: bit maps of the parity of the shingles that fall on
+each bit. Bits in which two differ are at most as many as shingles in which the sets differ, so the distance of a
+pair is at least what the signatures say, and pairs that this puts beyond the threshold are no links.
 """
 
 from __future__ import annotations
@@ -25,18 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpus_engine.llm.frames import stored
+from corpus_engine.llm.frames import stored, text_batches
 from corpus_engine.llm.graph import components
 from corpus_engine.llm.words import blocks, mix, shingle_sets, words_of
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BITS = 16
+SKETCH_BITS = 18
 SKETCH_PARTS = 16
 MOST_MATCHES = 8
 LEADER_ROUNDS = 2
 #: Lists of a token that the sketch expects to be longer are split for the choice of leaders.
 LIST_ROWS = 4096
+#: Classes of a group that a task holds against as many others.
+BLOCK_CLASSES = 1024
 MAP_BITS = 1 << 24
 
 
@@ -69,13 +76,13 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
     names = ["doc_id", "text_key", "n", "class_id", "part", "task", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.int64)
+        counts = np.zeros(size, dtype=np.int32)
         for batch in batches:
             n, ids = [], []
             for _, sets, first in sets_of(batch.column(2), words):
                 n.append(np.diff(first))
                 ids.append(class_ids(sets, first))
-                counts += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                counts += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.int32)
             if batch.num_rows:
                 none = pa.nulls(batch.num_rows, pa.int64())
                 columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(n)), pa.array(np.concatenate(ids))]
@@ -93,13 +100,14 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
 def sketch_of(surveyed: DataFrame) -> np.ndarray:
     """The summed sketch: ``2**SKETCH_BITS`` counts, whatever the input."""
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in rows.counts)
+    def add(rows: pd.DataFrame, kind: type) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in rows.counts)
         return pd.DataFrame({"part": [rows.part[0]], "task": [0], "counts": [total.tobytes()]})
 
     schema = "part long, task long, counts binary"
     rows = surveyed.filter("part IS NOT NULL").select("part", "task", "counts")
-    rows = rows.groupBy("part", "task").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
+    rows = rows.groupBy("part", "task").applyInPandas(lambda g: add(g, np.int32), schema)
+    rows = rows.groupBy("part").applyInPandas(lambda g: add(g, np.int64), schema)
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     step = len(out) // SKETCH_PARTS
     for r in rows.collect():
@@ -110,7 +118,7 @@ def sketch_of(surveyed: DataFrame) -> np.ndarray:
 def expected(sketch: np.ndarray) -> np.ndarray:
     """Documents that share a token of each bucket beyond what chance puts there."""
     mean = sketch.mean()
-    return np.maximum(sketch - mean - 3 * np.sqrt(mean), 0).astype(np.int64)
+    return np.maximum(sketch - mean - 2 * np.sqrt(mean), 0).astype(np.int64)
 
 
 def choose_matches(likely: np.ndarray, base: int) -> int:
@@ -124,7 +132,7 @@ def choose_matches(likely: np.ndarray, base: int) -> int:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``token, split, class_id, n, matches``: the prefix of each class, once per task."""
+    """``token, split, class_id, n, matches, place``: the prefix of each class, once per task; ``place`` from 0."""
     sent = docs.sparkSession.sparkContext.broadcast((sketch, expected(sketch)))
     shift = np.uint64(64 - SKETCH_BITS)
 
@@ -148,17 +156,18 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
                     else:
                         matches[i] = 0
                 length = np.where(matches > 0, base + matches, 0)
-                kept = np.arange(len(tokens)) - first[:-1][text] < length[text]
+                place = np.arange(len(tokens)) - first[:-1][text]
+                kept = place < length[text]
                 own, of = text[kept], bucket[kept]
                 rows = ids[own]
                 parts = likely[of] // LIST_ROWS + 1
                 split = np.where(parts > 1, (rows.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64), -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (tokens[kept].view(np.int64), split, rows, n[own], matches[own])],
-                    names=["token", "split", "class_id", "n", "matches"],
+                    [pa.array(x) for x in (tokens[kept].view(np.int64), split, rows, n[own], matches[own], place[kept])],
+                    names=["token", "split", "class_id", "n", "matches", "place"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, split long, class_id long, n long, matches long")
+    return docs.select("text").mapInArrow(run, "token long, split long, class_id long, n long, matches long, place long")
 
 
 def shared_tokens(tokens: DataFrame, percent: int) -> DataFrame:
@@ -173,8 +182,23 @@ def shared_tokens(tokens: DataFrame, percent: int) -> DataFrame:
     return rows.filter(last & kept).drop("after", "before")
 
 
+def signature(sets: np.ndarray) -> bytes:
+    """Parity of the shingles on each of at least four bits a shingle; a power of two of them, so that any two fold."""
+    bits = max(64, 1 << (4 * len(sets) - 1).bit_length())
+    return np.packbits(np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differing(one: bytes, two: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class Texts:
-    """One text of each class that shares a token, as a table bucketed by class that joins don't shuffle."""
+    """One text and the signature of each class that shares a token, in a table bucketed by class that joins don't shuffle."""
 
     def __init__(self, docs: DataFrame, keys: DataFrame, words: int):
         spark = docs.sparkSession
@@ -206,11 +230,33 @@ class Texts:
                 if not len(hit):
                     continue
                 texts = batch.column(1).take(pa.array(hit))
-                ids = np.concatenate([class_ids(sets, first) for _, sets, first in sets_of(texts, words)])
-                new = [i for i, x in enumerate(ids) if x and not (x in done or done.add(x))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[new]), texts.take(pa.array(new, pa.int64()))], names=["class_id", "text"])
+                for row, sets, first in sets_of(texts, words):
+                    ids = class_ids(sets, first)
+                    new = [i for i, x in enumerate(ids) if x and not (x in done or done.add(x))]
+                    marks = pa.array([signature(sets[first[i] : first[i + 1]]) for i in new], pa.binary())
+                    own = texts.take(pa.array([row + i for i in new], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[new]), marks, own], names=["class_id", "mark", "text"])
+
+        return docs.select("text_key", "text").mapInArrow(run, "class_id long, mark binary, text string")
+
+    def least_distances(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, apart`` of ``a, b, n_a, n_b``: a lower bound of the distance of each pair."""
+        marks = self.spark.table(self.name)
+        left = pairs.select("a", "b", "n_a", "n_b").join(marks.select(F.col("class_id").alias("a"), F.col("mark").alias("mark_a")), "a")
+        rows = left.join(marks.select(F.col("class_id").alias("b"), F.col("mark").alias("mark_b")), "b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                odd = np.array([differing(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4), strict=True)], dtype=np.float64)
+                apart = 2 * odd / (batch.column(2).to_numpy() + odd)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], names=["a", "b", "apart"])
+
+        rows = rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "mark_a", "mark_b")
+        return rows.mapInArrow(run, "a long, b long, apart double")
 
-        return docs.select("text_key", "text").mapInArrow(run, "class_id long, text string")
+    def marks(self, rows: DataFrame) -> DataFrame:
+        """Adds the ``mark`` of ``class_id``."""
+        return rows.join(self.spark.table(self.name).select("class_id", "mark"), "class_id")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``a, b, shared, joined``: sizes of the intersection and union of the sets of each pair of classes."""
@@ -239,6 +285,12 @@ def fitting(one: str, two: str, percent: int):
     return F.least(one, two) * 100 >= F.greatest(one, two) * percent
 
 
+def reachable(tail, sizes, matches, percent: int):
+    """Whether a token can be among the first ``matches`` shared ones of a link: what follows it (``tail``, itself
+    included, in the set where that is less) and those before it must make up the overlap that the sizes ask for."""
+    return (tail + matches - 1) * (100 + percent) >= sizes * percent
+
+
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """``id, root`` after ``links`` (``a, b``) join what ``labels`` has; unlabelled classes are their own root."""
     if labels is None:
@@ -253,6 +305,38 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(fresh))
 
 
+SIDE = ("class_id", "n", "root", "away", "tail", "matches", "mark")
+
+
+def compare_members(held: DataFrame, met: DataFrame, percent: int, schema: str = "a long, b long") -> DataFrame:
+    """Pairs of a member of a group (``held``) and a class that met its centre (``met``, with ``apart``, the least
+    distance of the centres) that can be linked by all that is known of the two.
+
+    Both sides come in blocks of bounded size (``centre, block, batch``), which a task compares class by class.
+    """
+    limit = 1 - percent / 100 + 1e-9
+
+    def run(members: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = [], []
+        if members.num_rows and others.num_rows:
+            ids, n, root, away, tail, matches = (members[c].to_numpy() for c in SIDE[:-1])
+            marks = members["mark"].to_pylist()
+            for other in others.to_pylist():
+                both = n + other["n"]
+                fits = (np.minimum(n, other["n"]) * 100 >= np.maximum(n, other["n"]) * percent) & (root != other["root"])
+                fits &= other["apart"] <= limit + away + other["away"]
+                fits &= reachable(np.minimum(tail, other["tail"]), both, np.minimum(matches, other["matches"]), percent)
+                for i in np.flatnonzero(fits):
+                    odd = differing(marks[i], other["mark"])
+                    if 2 * odd <= limit * (both[i] + odd):
+                        a.append(ids[i])
+                        b.append(other["class_id"])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["centre", "block", "batch"]
+    return held.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def with_roots(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds the root of ``class_id``."""
     return rows.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
@@ -262,74 +346,97 @@ def link_classes(lists: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """``id, root`` of the classes that are linked with others."""
     spark = texts.spark
     linked = F.col("shared") * 100 >= F.col("joined") * percent
+    limit = 1 - percent / 100 + 1e-9
     labels: DataFrame = spark.createDataFrame([], "id long, root long")
-    verified: DataFrame | None = None
+    links: DataFrame | None = None
     for turn in range(LEADER_ROUNDS):
-        rows = stored(with_roots(lists, labels))
-        place = F.struct(F.xxhash64(F.lit(turn), "class_id").alias("at"), F.col("class_id"), F.col("n"), F.col("root"))
+        rows = with_roots(lists, labels)
+        if turn:
+            sizes = labels.groupBy("root").agg((-F.count(F.lit(1))).alias("fewer"))
+            rows = rows.join(sizes, "root", "left").withColumn("fewer", F.coalesce("fewer", F.lit(-1)))
+        # At first one leader for many lists. Then each list has its own, of its largest component: the others, which
+        # are fewer, each meet many of its members.
+        chance = [F.col("fewer"), F.xxhash64(F.lit(turn), "class_id", "token")] if turn else [F.xxhash64(F.lit(turn), "class_id")]
+        place = F.struct(*[c.alias(f"at{i}") for i, c in enumerate(chance)], F.col("class_id"), F.col("n"), F.col("root"), F.col("place"), F.col("matches"))
         leaders = rows.groupBy("token", "split").agg(F.min(place).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
-        leaders = leaders.filter("low <> high").select("token", "split", "leader")
-        met = rows.join(leaders, ["token", "split"]).filter(F.col("root") != F.col("leader.root"))
-        met = met.withColumn("led_n", F.col("leader.n")).filter(fitting("n", "led_n", percent))
-        pairs = met.select(F.col("class_id").alias("a"), F.col("leader.class_id").alias("b")).distinct()
-        if verified is not None:
-            pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(texts.verify(pairs))
-        verified = found if verified is None else verified.unionByName(found)
-        labels = merged(labels, found.filter(linked).select("a", "b"))
-
-    # Every class belongs to the group of one leader it is linked with, at a known distance; others are groups of one.
+        leaders = stored(leaders.filter("low <> high").select("token", "split", "leader"))
+        met = rows.join(leaders, ["token", "split"]).filter(F.col("root") != F.col("leader.root")).withColumn("led_n", F.col("leader.n"))
+        tail = F.least(F.col("n") - F.col("place"), F.col("led_n") - F.col("leader.place"))
+        matches = F.least(F.col("matches"), F.col("leader.matches"))
+        pairs = met.filter(fitting("n", "led_n", percent) & reachable(tail, F.col("n") + F.col("led_n"), matches, percent)).select(
+            F.col("class_id").alias("a"), F.col("leader.class_id").alias("b"), F.col("n").alias("n_a"), F.col("led_n").alias("n_b")
+        )
+        near = texts.least_distances(pairs.distinct()).filter(F.col("apart") <= limit)
+        found = stored(texts.verify(near).filter(linked))
+        links = found if links is None else links.unionByName(found)
+        labels = merged(labels, found.select("a", "b"))
+
+    # Every class belongs to the group of the nearest leader it is linked with, at a known distance; others are groups
+    # of one.
     distance = 1 - F.col("shared") / F.col("joined")
-    centres = verified.filter(linked).groupBy("a").agg(F.min(F.struct(F.col("b").alias("centre"), distance.alias("away"))).alias("c"))
+    centres = links.groupBy("a").agg(F.min(F.struct(distance.alias("away"), F.col("b").alias("centre"))).alias("c"))
     centres = centres.select(F.col("a").alias("class_id"), "c.centre", "c.away")
-    members = with_roots(lists.select("class_id", "n").distinct(), labels).join(centres, "class_id", "left")
-    members = stored(
-        members.select("class_id", "n", "root", F.coalesce("centre", "class_id").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away"))
-    )
+    tail = F.max(F.col("n") - F.col("place")).alias("tail")
+    members = lists.groupBy("class_id").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), tail)
+    members = with_roots(members, labels).join(centres, "class_id", "left")
+    own_centre = [F.coalesce("centre", "class_id").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")]
+    members = stored(members.select("class_id", "n", "matches", "tail", "root", *own_centre))
     group = members.groupBy("centre").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("size"))
     rows = lists.join(members.select("class_id", "root", "centre"), "class_id")
-    held = rows.groupBy("token", "centre").agg(
-        F.min("root").alias("root"), F.min("matches").alias("matches"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
     mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    held = stored(held.join(mixed, "token", "left_semi"))
-    one = held.select("token", *[F.col(c).alias(f"{c}_a") for c in ("centre", "root", "matches", "least", "most")])
-    two = held.select("token", *[F.col(c).alias(f"{c}_b") for c in ("centre", "root", "matches", "least", "most")])
+    rows = rows.join(mixed, "token", "left_semi")
+    held = rows.groupBy("token", "centre").agg(
+        F.min("root").alias("root"), F.min("matches").alias("matches"), F.min("n").alias("least"), F.max("n").alias("most"),
+        tail, F.max("matches").alias("most_matches"),
+    )
+    held = stored(held.join(members.select(F.col("class_id").alias("centre"), F.col("n").alias("centre_n")), "centre"))
+    columns = ("centre", "centre_n", "root", "matches", "most_matches", "least", "most", "tail")
+    one = held.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = held.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
     sizes_fit = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
     pairs = (
         one.join(two, "token")
         .filter((F.col("centre_a") < F.col("centre_b")) & (F.col("root_a") != F.col("root_b")))
-        .groupBy(F.col("centre_a").alias("a"), F.col("centre_b").alias("b"))
+        .filter(sizes_fit & reachable(F.least("tail_a", "tail_b"), F.col("least_a") + F.col("least_b"), F.least("most_matches_a", "most_matches_b"), percent))
+        .groupBy(F.col("centre_a").alias("a"), F.col("centre_b").alias("b"), F.col("centre_n_a").alias("n_a"), F.col("centre_n_b").alias("n_b"))
         .agg(
             F.count(F.lit(1)).alias("tokens"),
             F.min(F.least("matches_a", "matches_b")).alias("matches"),
-            F.min("least_a").alias("least_a"), F.max("most_a").alias("most_a"), F.min("least_b").alias("least_b"), F.max("most_b").alias("most_b"),
         )
-        .filter((F.col("tokens") >= F.col("matches")) & sizes_fit)
-    )
-    between = stored(texts.verify(pairs))
-    labels = merged(labels, between.filter(linked).select("a", "b"))
+        .filter(F.col("tokens") >= F.col("matches"))
+    )
+    between = stored(texts.least_distances(pairs))
+    links = texts.verify(between.filter(F.col("apart") <= limit)).filter(linked)
+    labels = merged(labels, links.select("a", "b"))
 
     # Members of groups whose centres are near enough for a link between them.
-    apart = between.filter(~linked).select("a", "b", distance.alias("apart"))
+    apart = between
     for end in ("a", "b"):
         sizes = group.select(F.col("centre").alias(end), F.col("reach").alias(f"reach_{end}"), F.col("size").alias(f"size_{end}"))
         apart = apart.join(sizes, end)
-    limit = 1 - percent / 100 + 1e-9
     apart = apart.filter((F.col("size_a") + F.col("size_b") > 2) & (F.col("apart") <= limit + F.col("reach_a") + F.col("reach_b")))
-    apart = apart.select("a", "b", "apart")
-    fresh = with_roots(members.drop("root"), labels)
-    for end in ("a", "b"):
-        own = fresh.select(F.col("centre").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("class_id", "n", "root", "away")])
-        apart = apart.join(own, end)
-    near = apart.filter(
-        (F.col("root_a") != F.col("root_b")) & (F.col("apart") <= limit + F.col("away_a") + F.col("away_b")) & fitting("n_a", "n_b", percent)
-    )
-    done = verified.select("a", "b").unionByName(between.select("a", "b"))
-    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = near.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    last = stored(texts.verify(rest))
-    return merged(labels, last.filter(linked).select("a", "b"))
+    # The larger group of a pair is held, the members of the smaller one are brought to it.
+    larger = F.struct("size_a", "a") > F.struct("size_b", "b")
+    met = apart.select(
+        F.when(larger, F.col("a")).otherwise(F.col("b")).alias("held"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("centre"),
+        F.greatest("size_a", "size_b").alias("size"), "apart",
+    )
+    met = stored(met)
+    fresh = stored(texts.marks(with_roots(members.drop("root"), labels)).select("centre", *SIDE))
+    shares = met.join(group.select("centre", F.col("size").alias("own")), "centre").groupBy("held")
+    shares = stored(shares.agg(F.max("size").alias("size"), F.sum("own").alias("others")))
+    parts = {"blocks": F.ceil(F.col("size") / BLOCK_CLASSES).cast("int"), "batches": F.ceil(F.col("others") / BLOCK_CLASSES).cast("int")}
+    shares = shares.select("held", *[c.alias(n) for n, c in parts.items()])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "class_id"), F.col(c)).cast("int")
+    left = fresh.join(shares.withColumnRenamed("held", "centre"), "centre")
+    left = left.withColumn("block", dealt("blocks", 1)).withColumn("batch", every("batches"))
+    right = met.join(fresh, "centre").select("held", "apart", *SIDE).join(shares, "held").withColumnRenamed("held", "centre")
+    right = right.withColumn("batch", dealt("batches", 2)).withColumn("block", every("blocks"))
+    side = ["centre", "block", "batch", *SIDE]
+    right = right.select(*side, "apart").toDF(*side, "apart")  # columns of its own: both sides come from one table
+    near = stored(compare_members(left.select(side), right, percent).distinct())
+    return merged(labels, texts.verify(near).filter(linked).select("a", "b"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -343,15 +450,16 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    surveyed = stored(survey(rows, words))
-    found = surveyed.filter("part IS NULL").select("doc_id", "text_key", "n", "class_id")
-    sketch = sketch_of(surveyed)
-    lists = stored(shared_tokens(prefixes(rows, sketch, words, percent), percent))
-    classes = found.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
-    keys = lists.select("class_id").distinct().join(classes, "class_id").select("text_key")
-    texts = Texts(rows, keys, words)
-    labels = link_classes(lists, texts, percent)
-    texts.drop()
+    with text_batches(spark):
+        surveyed = stored(survey(rows, words))
+        found = surveyed.filter("part IS NULL").select("doc_id", "text_key", "n", "class_id")
+        sketch = sketch_of(surveyed)
+        lists = stored(shared_tokens(prefixes(rows, sketch, words, percent), percent))
+        classes = found.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
+        keys = lists.select("class_id").distinct().join(classes, "class_id").select("text_key")
+        texts = Texts(rows, keys, words)
+        labels = link_classes(lists, texts, percent)
+        texts.drop()
     named = with_roots(classes.select("class_id", "first"), labels)
     roots = named.join(labels.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(roots, "root", "left").select(F.col("class_id").alias("_class"), F.coalesce("least", "first").alias("component_id"))
