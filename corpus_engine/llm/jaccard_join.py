@@ -458,8 +458,10 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         classes = found.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
         keys = lists.select("class_id").distinct().join(classes, "class_id").select("text_key")
         texts = Texts(rows, keys, words)
-        labels = link_classes(lists, texts, percent)
-        texts.drop()
+        try:
+            labels = link_classes(lists, texts, percent)
+        finally:
+            texts.drop()
     named = with_roots(classes.select("class_id", "first"), labels)
     roots = named.join(labels.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(roots, "root", "left").select(F.col("class_id").alias("_class"), F.coalesce("least", "first").alias("component_id"))
