@@ -183,8 +183,8 @@ def shared_tokens(tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def signature(sets: np.ndarray) -> bytes:
-    """Parity of the shingles on each of at least four bits a shingle; a power of two of them, so that any two fold."""
-    bits = max(64, 1 << (4 * len(sets) - 1).bit_length())
+    """Parity of the shingles on each of at least two bits a shingle; a power of two of them, so that any two fold."""
+    bits = max(64, 1 << (2 * len(sets) - 1).bit_length())
     return np.packbits(np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
