@@ -1,9 +1,9 @@
-"""Training passages that copy test items, found by rare n-gram seeds and scored by local alignment.
+"""Training passages that copy test items, found by n-gram seeds and scored by local alignment.
 
-The document frequency of every n-gram of the items is counted over all documents; each item keeps its rarest
-n-grams as seeds, however frequent its copies are. Places of a document that hold a seed are widened to windows that
-could hold a whole item, windows meet items by equal seeds, and Smith-Waterman over words scores each meeting, so
-that words changed, dropped or put in between lower the score instead of hiding the copy.
+Every n-gram of an item is a seed, however frequent it is. Places of a document that hold a seed are widened to
+windows that could hold a whole copy, windows meet items by equal seeds, and Smith-Waterman over words scores each
+meeting whose common words could reach the threshold, so that words changed, dropped or put in between lower the
+score instead of hiding the copy. A copy without one n-gram of its item meets nothing.
 """
 
 from __future__ import annotations
@@ -14,13 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpus_engine.llm.frames import stored
 from corpus_engine.llm.words import BY_KIND, WORD, Words, blocks, grams, words_of
 
 SEED_WORDS = 3
-SEED_SHARE = 0.75
 MATCH, OTHER, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
@@ -92,32 +90,12 @@ class Map:
         return out
 
 
-def seed_counts(docs: DataFrame, seeds: Map, size: int) -> DataFrame:
-    """``seed, found``: documents that hold each suspected seed, summed within batches first."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for _, _, data, offsets in blocks(batch.column(0)):
-                words = plain_words(data, offsets)
-                hashed, whole = grams(words, size)
-                hit = np.flatnonzero(whole)[sent.value.maybe(hashed[whole])]
-                pairs = np.unique(np.stack([words.text_of()[hit].astype(np.uint64), hashed[hit]], axis=1), axis=0)
-                got.append(pairs[:, 1])
-            values, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["seed", "found"])
-
-    return docs.select("text").mapInArrow(run, "seed long, found long").groupBy("seed").agg(F.sum("found").alias("found"))
-
-
-def windows_of(docs: DataFrame, seeds: Map, size: int, longest: int) -> DataFrame:
+def windows_of(docs: DataFrame, seeds: Map, size: int, reach: int) -> DataFrame:
     """``doc_id, row_key, start, words, seeds`` of the places of each document that hold suspected seeds.
 
-    Seeds less than an item's length apart share a window, which reaches an item's length beyond them.
+    Seeds at most ``reach`` words apart share a window, which reaches as far beyond them.
     """
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
-    reach = longest + longest // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,6 +161,8 @@ def alignments(pairs: DataFrame, least: float) -> DataFrame:
             for i in range(batch.num_rows):
                 window = batch.column(3)[i].values.to_numpy()
                 item = batch.column(5)[i].values.to_numpy()
+                if np.isin(item, window).sum() < least * len(item):  # each word of the item matches once at most
+                    continue
                 score, a, b, matched = align(item, window)
                 if score >= least * MATCH * len(item):
                     doc, row, start, item_id = (k[i] for k in keys)
@@ -202,14 +182,14 @@ def copies(
     item_id: str = "item_id",
     item_text: str = "text",
     size: int = SEED_WORDS,
-    share: float = SEED_SHARE,
     least: float = LEAST_SCORE,
 ) -> DataFrame:
     """``doc_id, row_key, item_id, score, first_word, last_word, matched``: the best copy of each item in each document.
 
     Words are runs of letters and digits in lower case. ``score`` is the alignment's part of a perfect one (1: word
     for word); copies below ``least`` are left out. ``first_word`` and ``last_word`` count the document's words from
-    0. Items with fewer than ``size`` words and null texts have no copies; rows without an id are told apart by
+    0. Copies without ``size`` words of the item in a row are not found, so items with fewer have none, nor have null
+    texts; rows without an id are told apart by
     ``row_key``, a hash of id and text, and equal rows are reported once. Ties go to the earlier place. Either table
     may be empty; then so is the result.
     """
@@ -220,13 +200,10 @@ def copies(
     known = stored(item_words(tests, size))
     every = stored(known.select("item_id", F.explode("seeds").alias("seed")))
     n, longest = every.count(), known.agg(F.max(F.size("words"))).first()[0] or size
-    counts = seed_counts(rows, Map.of(every, n), size)
-    rarest = Window.partitionBy("item_id").orderBy("found", "seed")
-    held = Window.partitionBy("item_id")
-    chosen = every.join(counts, "seed").withColumns({"place": F.row_number().over(rarest), "n": F.count(F.lit(1)).over(held)})
-    chosen = stored(chosen.filter(F.col("place") <= F.ceil(F.col("n") * share)).select("item_id", "seed"))
-    found = stored(windows_of(rows, Map.of(chosen, chosen.count()), size, longest))
-    met = found.select("doc_id", "row_key", "start", F.explode("seeds").alias("seed")).join(chosen, "seed")
+    # m matches and e other steps score 2m - e >= 2 * least * l, with m <= l words of the item; they span m + e words at most.
+    reach = int(np.ceil((3 - 2 * least) * longest))
+    found = stored(windows_of(rows, Map.of(every, n), size, reach))
+    met = found.select("doc_id", "row_key", "start", F.explode("seeds").alias("seed")).join(every, "seed")
     met = met.select("doc_id", "row_key", "start", "item_id").distinct()
     same = F.col("row_key").eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start"))
     windows = found.select(F.col("row_key").alias("_key"), F.col("start").alias("_start"), "words").dropDuplicates(["_key", "_start"])

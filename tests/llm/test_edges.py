@@ -216,6 +216,34 @@ def test_decontam_edges(spark):
     assert decontam.copies(docs, items.limit(0)).count() == 0 and decontam.copies(docs.limit(0), items).count() == 0
 
 
+def test_decontam_finds_edited_copies_beside_exact_ones(spark):
+    """Against Smith-Waterman of every item and document: edited copies share other seeds than the exact one does."""
+    draw, item = np.random.default_rng(6), [f"w{i}" for i in range(24)]
+    rows, n = [(0, " ".join(item))], 0
+
+    def add(words):
+        nonlocal n
+        n += 1
+        rows.append((n, " ".join(["a", "b", *words, "c"])))
+
+    edited = list(item)
+    for i, at in enumerate([3, 5, 8, 10, 13, 15, 18, 20, 22][::-1]):  # runs of 3, 2, 3, 2, ... words
+        edited.insert(at, f"x{i}")
+    for _ in range(5):
+        add(edited)
+    add(item[:3] + [w for i, word in enumerate(item[3:]) for w in (f"y{i}", word)])  # nearly twice as long
+    for k in range(20):
+        words = list(item)
+        for i in range(draw.integers(0, 9)):
+            words.insert(draw.integers(0, len(words)), f"z{k}z{i}")
+        add(words)
+    docs, items = docs_of(spark, [(*r, "en", "a") for r in rows]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: round(r.score * 48) for r in decontam.copies(docs, items).collect()}
+    number = {w: i for i, w in enumerate({w for _, t in rows for w in t.split()})}
+    scores = {i: decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in t.split()]))[0] for i, t in rows}
+    assert got == {i: s for i, s in scores.items() if s >= 24} and got[1] == 39 and len(got) == len(rows)
+
+
 def test_alignment_matches_plain_dynamic_programming():
     draw = np.random.default_rng(2)
     for _ in range(30):
