@@ -1,7 +1,8 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-The vocabulary is that of the templates; its document frequencies are counted over all documents. A text is compared
-line by line, paragraph by paragraph and as a whole. Files without a licence of their own take that of the nearest
+Document frequencies are counted over all documents, exactly for the words of the templates and in a sketch of fixed
+size for all others. A text is compared line by line, paragraph by paragraph, as a whole, and by every run of as many
+words as a template has, so that a notice is found whatever shares its line. Files without a licence of their own take that of the nearest
 directory above them that has a licence file.
 """
 
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from corpus_engine.llm.decontam import plain_words
 from corpus_engine.llm.frames import extended, stored
 from corpus_engine.llm.licence_templates import NOTICES
-from corpus_engine.llm.words import Words, blocks
+from corpus_engine.llm.words import blocks
 
 LEAST_COSINE = 0.7
+#: Counters of a row of the sketch, a power of two; words in one run of spans that are compared at once.
+SKETCH, SPAN_WORDS = 1 << 18, 1 << 17
 LICENCE_NAMES = ["license", "licence", "copying", "copyright", "notice", "unlicense"]
 
 
@@ -33,8 +36,9 @@ class Templates:
     counts: np.ndarray
     idf: np.ndarray | None = None
     unit: np.ndarray | None = None
-    other_idf: float = 0.0
+    other_idf: np.ndarray | None = None
     telling: np.ndarray | None = None
+    least: float = 0.0
 
     @classmethod
     def of(cls, notices: dict[str, list[str]]) -> Templates:
@@ -46,14 +50,15 @@ class Templates:
         np.add.at(counts, (words.text_of(), at), 1)
         return cls(names, vocabulary, counts)
 
-    def weigh(self, found: np.ndarray, n: int, least: float) -> None:
-        """Sets the weights from the documents (of ``n``) that hold each word.
+    def weigh(self, found: np.ndarray, sketch: np.ndarray, n: int, least: float) -> None:
+        """Sets the weights from the documents (of ``n``) that hold each word; ``sketch`` has those of other words.
 
         ``telling`` marks words without one of which no template can be reached: the others' joint weight in any
         template stays below the threshold.
         """
         self.idf = np.log((1 + n) / (1 + found)) + 1
-        self.other_idf = float(np.log(1 + n) + 1)
+        self.other_idf = (np.log((1 + n) / (1 + sketch)) + 1).astype(np.float32)
+        self.least = least
         weighed = self.counts * self.idf
         self.unit = weighed / np.linalg.norm(weighed, axis=1, keepdims=True)
         self.telling = np.ones(len(self.idf), dtype=bool)
@@ -64,47 +69,62 @@ class Templates:
                 break
             self.telling[w] = False
 
-    def places(self, words: Words) -> np.ndarray:
+    def places(self, hashed: np.ndarray) -> np.ndarray:
         """Number in the vocabulary of each word, -1 for others."""
-        at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == words.hash, at, -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashed, at, -1)
 
+    def weights(self, hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Weight of each word; of others that of the rarer of its two counters, which never count too little."""
+        one, two = counters(hashed)
+        return np.where(at >= 0, self.idf[at], np.maximum(self.other_idf[one], self.other_idf[two]))
 
-def word_counts(docs: DataFrame, templates: Templates) -> np.ndarray:
-    """Documents that hold each word of the vocabulary, and in the last place the number of documents."""
+
+def counters(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of each word in the two rows of the sketch."""
+    last = np.uint64(SKETCH - 1)
+    return (hashed & last).astype(np.int64), ((hashed >> np.uint64(32)) & last).astype(np.int64) + SKETCH
+
+
+def word_counts(docs: DataFrame, templates: Templates) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents that hold each word of the vocabulary and each counter of the sketch, and the number of documents."""
     size = len(templates.vocabulary)
+    wide = size + 2 * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 1, dtype=np.int64)
+        total = np.zeros(wide + 1, dtype=np.int64)
         for batch in batches:
-            total[size] += batch.num_rows
+            total[wide] += batch.num_rows
             for _, _, data, offsets in blocks(batch.column(0)):
                 words = plain_words(data, offsets)
-                at = templates.places(words)
-                held = np.unique(words.text_of()[at >= 0] * size + at[at >= 0])
-                total[:size] += np.bincount(held % size, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], names=["word", "n"])
+                at, text = templates.places(words.hash), words.text_of()
+                other = at < 0
+                for held, of in ((at[~other], text[~other]), *((size + c, text[other]) for c in counters(words.hash[other]))):
+                    np.add.at(total, np.unique(of * wide + held) % wide, 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
 
-    out = np.zeros(size + 1, dtype=np.int64)
-    for r in docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one row per word of the templates
-        out[r.word] = r.n
-    return out
+    out = np.zeros(wide + 1, dtype=np.int64)
+    # One row per word of the templates and counter of the sketch.
+    got = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("word").to_numpy()] = got.column("n").to_numpy()
+    return out[:size], out[size:wide], int(out[wide])
 
 
-def best_of(words: Words, unit_of: np.ndarray, units: int, templates: Templates) -> tuple[np.ndarray, np.ndarray]:
+def best_of(hashed: np.ndarray, unit_of: np.ndarray, units: int, templates: Templates) -> tuple[np.ndarray, np.ndarray]:
     """Best cosine and template of each unit (-1 where no telling word stands); ``unit_of`` is the unit of each word."""
-    at = templates.places(words)
+    at = templates.places(hashed)
     score, which = np.zeros(units), np.full(units, -1)
     telling = np.zeros(units, dtype=bool)
     telling[unit_of[(at >= 0) & templates.telling[at]]] = True
     if not telling.any():
         return score, which
     kept = telling[unit_of]
-    pairs, count = np.unique(np.stack([unit_of[kept].astype(np.uint64), words.hash[kept]], axis=1), axis=0, return_counts=True)
+    pairs, count = np.unique(np.stack([unit_of[kept].astype(np.uint64), hashed[kept]], axis=1), axis=0, return_counts=True)
     own = pairs[:, 0].astype(np.int64)
-    at = np.minimum(np.searchsorted(templates.vocabulary, pairs[:, 1]), len(templates.vocabulary) - 1)
-    known = templates.vocabulary[at] == pairs[:, 1]
-    weight = count * np.where(known, templates.idf[at], templates.other_idf)
+    at = templates.places(pairs[:, 1])
+    known = at >= 0
+    weight = count * templates.weights(pairs[:, 1], at)
     norm = np.sqrt(np.bincount(own, weight**2, minlength=units))
     some = np.flatnonzero(telling)
     row = np.searchsorted(some, own[known])
@@ -115,8 +135,29 @@ def best_of(words: Words, unit_of: np.ndarray, units: int, templates: Templates)
     return score, which
 
 
+def spans_of(hashed: np.ndarray, text: np.ndarray, templates: Templates) -> Iterator[tuple[np.ndarray, int]]:
+    """Starts of the runs of words, within one text each, that could reach the threshold, with their length.
+
+    The cosine to a template of what holds some of its words is at most the root of their part of its squared norm.
+    """
+    at, lengths = templates.places(hashed), templates.counts.sum(axis=1).astype(np.int64)
+    part = np.concatenate([templates.unit**2, np.zeros((len(lengths), 1))], axis=1)  # the last is that of other words
+    for length in np.unique(lengths):
+        could = np.zeros(max(len(hashed) - length + 1, 0), dtype=bool)
+        if not len(could):
+            break
+        for t in np.flatnonzero(lengths == length):
+            held = np.concatenate([[0.0], np.cumsum(part[t][at])])
+            could |= held[length:] - held[:-length] >= templates.least**2 - 1e-6
+        could &= text[length - 1 :] == text[: len(could)]
+        start = np.flatnonzero(could)
+        step = max(SPAN_WORDS // length, 1)
+        for i in range(0, len(start), step):
+            yield start[i : i + step], int(length)
+
+
 def scan_block(data: np.ndarray, offsets: np.ndarray, templates: Templates) -> tuple[np.ndarray, np.ndarray]:
-    """Best cosine and template of each text over its lines, its paragraphs and itself."""
+    """Best cosine and template of each text over its lines, its paragraphs, itself and its spans."""
     words, n = plain_words(data, offsets), len(offsets) - 1
     text, score, which = words.text_of(), np.zeros(n), np.full(n, -1)
     if not len(text):
@@ -127,28 +168,38 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, templates: Templates) -> t
     lines_apart = np.diff(np.searchsorted(breaks, words.start), prepend=0)
     paragraph = np.cumsum((lines_apart > 1) | (np.diff(text, prepend=text[0]) > 0))
     _, paragraph = np.unique(paragraph, return_inverse=True)
-    for unit in (line, paragraph, text):
-        units = int(unit[-1]) + 1
-        of_unit = np.zeros(units, dtype=np.int64)
-        of_unit[unit] = text
-        s, w = best_of(words, unit, units, templates)
-        order = np.lexsort((np.arange(units), -s))
+
+    def take(hashed: np.ndarray, unit: np.ndarray, of_unit: np.ndarray) -> None:
+        s, w = best_of(hashed, unit, len(of_unit), templates)
+        order = np.lexsort((np.arange(len(of_unit)), -s))
         _, at = np.unique(of_unit[order], return_index=True)
         best = order[at]
         better = s[best] > score[of_unit[best]] + 1e-12
         score[of_unit[best][better]], which[of_unit[best][better]] = s[best][better], w[best][better]
+
+    for unit in (line, paragraph, text):
+        of_unit = np.zeros(int(unit[-1]) + 1, dtype=np.int64)
+        of_unit[unit] = text
+        take(words.hash, unit, of_unit)
+    at = templates.places(words.hash)
+    telling = np.zeros(n, dtype=bool)
+    telling[text[(at >= 0) & templates.telling[at]]] = True
+    hashed, text = words.hash[telling[text]], text[telling[text]]
+    for start, length in spans_of(hashed, text, templates):
+        rows = (start[:, None] + np.arange(length)).ravel()
+        take(hashed[rows], np.repeat(np.arange(len(start)), length), text[start])
     return score, which
 
 
 def scan(docs: DataFrame, text: str = "text", notices: dict[str, list[str]] = NOTICES, least: float = LEAST_COSINE) -> DataFrame:
-    """All columns of ``docs`` and ``_licence``, ``_cosine``: the nearest template of the whole text and its cosine.
+    """All columns of ``docs`` and ``_licence``, ``_cosine``: the nearest template to any unit of the text and its cosine.
 
     Below ``least`` the licence is null (the cosine of the nearest stays). Null texts and texts without a word of
-    the templates have cosine 0. Ties go to the earlier line, then to the first template by name.
+    the templates have cosine 0. Ties go to lines, then paragraphs, the whole, spans; to the earlier of them, then to the first template by name.
     """
     at, templates = docs.columns.index(text), Templates.of(notices)
-    counts = word_counts(docs.select(F.col(text).alias("text")), templates)
-    templates.weigh(counts[:-1], int(counts[-1]), least)
+    found, sketch, n = word_counts(docs.select(F.col(text).alias("text")), templates)
+    templates.weigh(found, sketch, n, least)
     sent = docs.sparkSession.sparkContext.broadcast(templates)  # templates by vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ NOTICES = {
     "GPL-2.0": [
         "This program is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",

@@ -266,6 +266,31 @@ def test_licence_edges(spark):
     assert licence_scan.inherit(licence_scan.scan(docs.limit(0))).count() == 0
 
 
+def test_licence_notices_among_other_words(spark):
+    """Within a line, within a text without line ends, and where only the wording of one licence tells it."""
+    mit, other = "Released under the MIT License.", " ".join(f"plain{i}" for i in range(400))
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = [f"one two three {mit} four five six", f"{other} {mit} {other}", f"{other} {gpl.format(2)} {other}", f"x {gpl.format(3)} y", other, "Released under"]
+    rows += ["of this and that", "and this of that"] * 50
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licence_scan.scan(docs).collect()}
+    assert [got[i]._licence for i in range(7)] == ["MIT", "MIT", "GPL-2.0", "GPL-3.0", None, None, None]
+    assert all(abs(got[i]._cosine - 1) < 1e-9 for i in range(4))
+
+
+def test_licence_weights_of_other_words(spark):
+    """Words that no template holds weigh by the documents that hold them."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(f"often w{i} w{i}",) for i in range(50)], "text string")
+    templates = licence_scan.Templates.of({"a": ["some notice"]})
+    found, sketch, n = licence_scan.word_counts(docs, templates)
+    templates.weigh(found, sketch, n, 0.7)
+    hashed = decontam.plain_words(*next(W.blocks(pa.array(["often w7 never"])))[2:]).hash
+    often, once, never = templates.weights(hashed, templates.places(hashed))
+    assert n == 50 and not found.any() and np.allclose([often, once, never], [1, np.log(51 / 2) + 1, np.log(51) + 1])
+
+
 def test_extraction_edges(spark):
     pages = [
         (1, "<nav><a href='/'>Home</a></nav><article><h1>T &amp; t</h1><p>One  two\n three &eacute; &lt;b&gt;.</p><p>Four.<div class='ad'>Buy now</div><p>Five six.</article><section id=comments><p>I think so too, very much indeed.</p></section>"),
