@@ -310,6 +310,12 @@ def test_extraction_edges(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inner", ["<svg-icon name=x></svg-icon>", "<video-player src='a>b'/>", "<select-menu>", "<title-bar>", "<svg width='1'/>", "<MATH />", "<svg/>", "<svg><path d='x'/>no</svg>", "<svg a='/'>no</svg >", "<script>'<p>no</p>'</script>"])
+def test_text_after_custom_and_self_closed_elements(inner):
+    page = html_extract.parse(f"<p>a</p>{inner}<p>b</p><p>c</p>")
+    assert [b.text for b in page.blocks] == ["a", "b", "c"]
+
+
 def test_marginals_are_exact():
     """Against the sum over all states of a small tree."""
     from itertools import product
