@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -41,6 +42,7 @@ def json_parts(text: str) -> list[str] | None:
 
 def csv_parts(text: str) -> list[str] | None:
     """Rows below the header as JSON objects of texts; a row with more or fewer cells has them as a list."""
+    csv.field_size_limit(sys.maxsize)  # cells of any length; it holds for the process
     try:
         rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
     except csv.Error:

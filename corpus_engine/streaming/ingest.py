@@ -17,15 +17,21 @@ def ledger_of(table: str) -> str:
     return f"{table.rstrip('/')}_files"
 
 
+def rejected_of(table: str) -> str:
+    """Folder with the routed files that can't be read, as they came, beside the chunk table."""
+    return f"{table.rstrip('/')}_rejected"
+
+
 def stored_files(spark: SparkSession, table: str, before: int) -> DataFrame:
     """Ids of files that earlier batches stored; a batch that runs again does not see itself."""
     rows = spark.read.schema(LEDGER).parquet(ledger_of(table))
     return rows.filter(F.col("batch_id") < before).select("file_id").distinct()
 
 
-def cut_files(files: DataFrame) -> DataFrame:
-    """Chunk rows of a batch: routed files by their route, plain (``file_id``, ``text``) rows as texts."""
-    return chunk_table(files)[0] if "route" in files.columns else chunk_files(files)
+def cut_files(files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Chunk rows of a batch, and files that can't be read: routed files by their route, plain (``file_id``, ``text``)
+    rows as texts, all of which can be read."""
+    return chunk_table(files) if "route" in files.columns else (chunk_files(files), None)
 
 
 def ingest(texts: DataFrame, table: str, checkpoint: str):
@@ -35,7 +41,8 @@ def ingest(texts: DataFrame, table: str, checkpoint: str):
 
     A batch writes its own folder and replaces it when it is run again after a failure; files that an
     earlier batch stored are left out, by a ledger with one row per file. So every file is stored exactly
-    once; of several texts with one id the smallest counts, in any run.
+    once; of several texts with one id the smallest counts, in any run. Routed files that can't be read
+    are rows of the table ``rejected_of(table)`` and count as stored.
     """
     spark = texts.sparkSession
     # The ledger begins with an empty batch, so that it can be read before anything is stored.
@@ -46,7 +53,10 @@ def ingest(texts: DataFrame, table: str, checkpoint: str):
         rest = [c for c in batch.columns if c not in ("file_id", "text")]
         least = F.min(F.struct("text", *rest)).alias("least")
         fresh = batch.groupBy("file_id").agg(least).select("file_id", "least.*").join(done, "file_id", "left_anti")
-        cut_files(fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        chunks, rejected = cut_files(fresh)
+        chunks.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        if rejected is not None:
+            rejected.write.mode("overwrite").parquet(f"{rejected_of(table)}/batch_id={batch_id}")
         fresh.select("file_id").write.mode("overwrite").parquet(f"{ledger_of(table)}/batch_id={batch_id}")
 
     return (

@@ -190,3 +190,19 @@ def test_history_keeps_the_last_turns(spark, k):
     df = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(5)], turns.TURN)
     row = V.recent_history(df, k).first()
     assert row["history"] == "\n".join(f"USUARIO: t{t}" for t in range(5 - k, 5))
+
+
+def test_long_cells_are_read_and_unreadable_files_kept(spark, tmp_path):
+    long = "palabra " * 25_000
+    rows = [(1, "a.csv", "text/csv", "rows", f'clave,nota\n7,"{long}"\n'), (2, "b.json", "application/json", "records", "{")]
+    files = spark.createDataFrame(rows, "file_id long, filename string, document_type string, route string, text string")
+    good, rejected = G.chunk_table(files)
+    assert [json.loads(r.text_json) for r in good.collect()] == [{"clave": "7", "nota": long}]
+    src, table, check = (str(tmp_path / n) for n in ("src", "table", "check"))
+    files.write.parquet(src)
+    for _ in range(2):
+        arriving = spark.readStream.schema(files.schema).parquet(src)
+        ingest.ingest(arriving, table, check).awaitTermination()
+    assert [r.file_id for r in spark.read.parquet(table).collect()] == [1]
+    kept = spark.read.parquet(ingest.rejected_of(table)).select(rejected.columns).collect()
+    assert list(map(tuple, kept)) == [(2, "b.json", "application/json", "records", "{")] == list(map(tuple, rejected.collect()))
