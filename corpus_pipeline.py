@@ -58,7 +58,10 @@ def drop_copies_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often, and so with how many words, each document is taken."""
+    """The plan of copies: one row per document with how often, and so with how many words, it is taken (0 too).
+
+    No row is repeated or left out here; ``mixing.materialise`` does it.
+    """
     return mixing.mix(docs)
 
 
@@ -75,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; the rows are the mix's plan of copies, not the copies."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
