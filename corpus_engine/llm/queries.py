@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,10 @@ from corpus_engine.llm import (
     language_id,
     licence_scan,
     line_dedup,
+    merkle,
     mixing,
+    oracle_sql,
+    piece_encoding,
     quality,
     warc,
 )
@@ -119,6 +123,38 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Pieces of every document, and digests of its ids and of the text decoded from them."""
+    path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_encoding.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    out = piece_encoding.decode(ids, path)
+    listed = F.array_join(F.col("_ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("_text", 256).alias("decoded_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, proof and verdict of every document; every third or so is tampered with after the proof."""
+    docs = load(spark, sf_dir, "documents")
+    text = F.col("text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(in_bucket("doc_id", 3, 0), merkle.leaf_digest([*fields, folded])).alias("tampered")
+    rows = docs.select("doc_id", "lang", merkle.leaf_digest([*fields, text]).alias("digest"), tampered)
+    manifest = merkle.build(rows, F.col("digest"), F.col("lang"), F.col("doc_id"))
+    root = F.lit(manifest.root)
+    claimed = F.coalesce("row.tampered", "leaf")
+    out = merkle.prove(manifest).withColumn("folded_root", merkle.folded(claimed, F.col("path")))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        merkle.hexed(F.col("leaf")).alias("leaf"),
+        merkle.hexed(F.col("subroot")).alias("subroot"),
+        root.alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == root).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
@@ -130,6 +166,8 @@ QUERIES: dict[str, Query] = {
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_pieces": op11_pieces,
+    "op12_merkle": op12_merkle,
 }
 
 # A key: the line stripped of [\x20\x09-\x0D] at both ends, A-Z in lower case.
@@ -170,4 +208,5 @@ FROM firsts
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op12_merkle": oracle_sql.merkle(),
 }
