@@ -63,3 +63,40 @@ y0 AS (SELECT id, 0 AS g, g AS r, proof, node FROM x{depth}),{climbs("y", "u", g
 SELECT p.doc_id, p.leaf, s.d AS subroot, top.root, sha256(y.proof) AS proof_sha256, y.node AS folded_root, y.node = top.root AS verified
 FROM placed p JOIN subroots s ON s.g = p.g JOIN y{groups_depth} y ON y.id = p.id CROSS JOIN top
 """
+
+
+# Counts everything, where the operator counts what the frontier asks for.
+PHRASES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT d, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+numbered AS (SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda w: w <> '') AS ws FROM pieces),
+tokens AS (SELECT p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM numbered WHERE len(ws) > 0),
+runs AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER (PARTITION BY p ORDER BY pos) AS w2, lead(w, 2) OVER (PARTITION BY p ORDER BY pos) AS w3 FROM tokens),
+totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+one AS (SELECT lang, w1, count(*) AS a FROM runs GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS a FROM runs WHERE w2 IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*) AS a FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT t.lang, t.w1, t.w2, NULL AS w3, t.a, 1 AS k, x.a AS l, y.a AS r
+  FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2 WHERE t.a >= 10
+  UNION ALL
+  SELECT t.lang, t.w1, t.w2, t.w3, t.a, 1, x.a, y.a
+  FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1, t.w2, t.w3, t.a, 2, x.a, y.a
+  FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, w1, w2, max(a) AS a FROM (
+    SELECT lang, w1, w2, a FROM three UNION ALL SELECT lang, w2, w3, a FROM three) GROUP BY ALL),
+kept AS (
+  SELECT s.lang, concat_ws(' ', s.w1, s.w2, s.w3) AS phrase, s.a, l, r, score
+  FROM lowest s LEFT JOIN longer x ON s.w3 IS NULL AND x.lang = s.lang AND x.w1 = s.w1 AND x.w2 = s.w2
+  WHERE x.a IS NULL OR 100 * x.a < 50 * s.a),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT b.lang, rank, phrase, a, l, r, n, score FROM best b JOIN totals t ON t.lang = b.lang WHERE rank <= 2000
+"""

@@ -19,6 +19,7 @@ from corpus_engine.llm import (
     merkle,
     mixing,
     oracle_sql,
+    phrases,
     piece_encoding,
     quality,
     warc,
@@ -155,6 +156,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return phrases.mine(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
@@ -168,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "op10_mixing": op10_mixing,
     "op11_pieces": op11_pieces,
     "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }
 
 # A key: the line stripped of [\x20\x09-\x0D] at both ends, A-Z in lower case.
@@ -209,4 +216,5 @@ ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op9_line_dedup": OP9_SQL,
     "op12_merkle": oracle_sql.merkle(),
+    "op13_phrases": oracle_sql.PHRASES,
 }
