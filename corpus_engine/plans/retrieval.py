@@ -43,7 +43,7 @@ def scope_of(bridge, key):
 
 def context_hits(spark, d, store=None, **cuts):
     scope = scope_of(T.context_files(spark, d), "context_id")
-    store = T.chunk_store(spark, d) if store is None else store
+    store = T.stored_chunks(spark, d) if store is None else store
     return R.search(T.context_questions(spark, d), scope, store, files=T.files(spark, d), **cuts)
 
 
@@ -121,7 +121,7 @@ def j11_cells(spark, d):
     CTES,
 )
 def w2(spark, d):
-    questions, store = T.context_questions(spark, d), T.chunk_store(spark, d)
+    questions, store = T.context_questions(spark, d), T.stored_chunks(spark, d)
     found = R.scored(questions, scope_of(T.context_files(spark, d), "context_id"), store)
     hits = R.top_k(found, 5)
     return rounded(hits.select("qid", "file_id", "chunk_index", "rank", "distance"), "distance")
@@ -135,7 +135,7 @@ def w2(spark, d):
     CTES,
 )
 def w3(spark, d):
-    questions, store = T.context_questions(spark, d), T.chunk_store(spark, d)
+    questions, store = T.context_questions(spark, d), T.stored_chunks(spark, d)
     found = R.scored(questions, scope_of(T.context_files(spark, d), "context_id"), store)
     hits = R.top_k(found, 3, ["qid", "file_id"], "place")
     return hits.select("qid", "file_id", "chunk_index", "place")
@@ -148,7 +148,7 @@ def w3(spark, d):
 )
 def w6(spark, d):
     scope = scope_of(T.context_files(spark, d), "context_id")
-    store = T.chunk_store(spark, d).select("file_id", "chunk_index", "language")
+    store = T.stored_chunks(spark, d).select("file_id", "chunk_index", "language")
     questions = T.context_questions(spark, d).select("qid", "qlang")
     return R.in_scope(R.with_preference(questions, scope, T.files(spark, d)), scope, store)
 
@@ -185,7 +185,7 @@ def t2(spark, d):
     CTES,
 )
 def p10(spark, d):
-    questions, store = T.context_questions(spark, d), T.chunk_store(spark, d)
+    questions, store = T.context_questions(spark, d), T.stored_chunks(spark, d)
     found = R.scored(questions, scope_of(T.context_files(spark, d), "context_id"), store)
     hits = found.withColumn("similarity", V.similarity(F.col("distance")))
     hits = hits.filter(F.col("similarity") > 0.3)

@@ -118,9 +118,19 @@ def chunk_store(spark: SparkSession, d: str) -> DataFrame:
     return cut.withColumn("vec_id", vec_id).join(emb.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
+#: Folder of the stored chunk table by application and tables.
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk table as an ingest would have stored it: texts cut and joined with their vectors once."""
-    return cut_lineage(chunk_store(spark, d))
+    """The chunk table as an ingest would have stored it: texts cut and joined with their vectors once a session.
+
+    Every search reads this table; only the first of an application writes it.
+    """
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(chunk_store(spark, d))
+    return _STORED[key]
 
 
 def question_vectors(asked: DataFrame, emb: DataFrame) -> DataFrame:
