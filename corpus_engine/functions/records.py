@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_engine.functions.text import NO_VALUE, bind, clean_value, label
+from corpus_engine.session import cut_lineage
 
 LEAF = "struct<path: string, key: string, type: string, value: string>"
 
@@ -196,9 +198,10 @@ JSON_TYPES = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN
 
 
 def variant_type(v: Column) -> Column:
-    """One of string, number, boolean, array, object, null."""
+    """One of string, number, boolean, array, object, null; no type where there is no value at all."""
     names = F.create_map(*[F.lit(x) for pair in JSON_TYPES.items() for x in pair])
-    return F.coalesce(F.element_at(names, F.substring_index(F.schema_of_variant(v), "<", 1)), F.lit("number"))
+    named = F.coalesce(F.element_at(names, F.substring_index(F.schema_of_variant(v), "<", 1)), F.lit("number"))
+    return F.when(v.isNotNull(), named)
 
 
 def members(v: Column) -> Column:
@@ -217,36 +220,54 @@ def object_entries(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
     return out.withColumn("type", variant_type(F.col("value")))
 
 
-def walk(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> DataFrame:
-    """Every node below the root of a variant record: ``path``, ``value``.
+NODE = "struct<keys: array<string>, value: variant, is_open: boolean>"
 
-    An object appends ``.key`` to the path, an array element keeps the path of its array. Each level
-    is one generator step over the nodes the level before opened, so the input is read once and
-    nothing is shuffled. A node at ``max_depth`` that could be opened further is handed on whole and
-    marked ``unopened``; its ``value`` can be walked again.
+
+def walk(df: DataFrame, record: str, keep: list[str], max_depth: int = 8, under: str | None = None) -> DataFrame:
+    """Every node below the root of a variant record: ``keys``, ``path``, ``value``.
+
+    An object appends its key to the keys, an array element keeps those of its array; ``path`` is the keys with dots
+    between them, to read, while ``keys`` tells a key with a dot from a key inside another. Each level is one generator
+    step over the nodes the level before opened, so the input is read once and nothing is shuffled. A node at
+    ``max_depth`` that could be opened further is handed on whole and marked ``unopened``. ``under`` names a column of
+    keys to go on from, where ``record`` is such a node.
     """
 
-    def children(path: Column | None, value: Column) -> Column:
-        def named(entry: Column) -> Column:
-            full = entry["key"] if path is None else F.concat(path, F.lit("."), entry["key"])
-            return node(full, entry["value"], True)
+    def node(keys: Column, value: Column, is_open: bool) -> Column:
+        return F.struct(keys.alias("keys"), value.alias("value"), F.lit(is_open).alias("is_open"))
 
-        inside = F.transform(F.map_entries(members(value)), named)
-        if path is None:
+    def children(keys: Column, value: Column, of_lists: bool = True) -> Column:
+        entries = F.map_entries(members(value))
+        inside = F.transform(entries, lambda e: node(F.concat(keys, F.array(e["key"])), e["value"], True))
+        if not of_lists:
             return inside
-        return F.coalesce(inside, F.transform(elements(value), lambda x: node(path, x, True)))
+        return F.coalesce(inside, F.transform(elements(value), lambda x: node(keys, x, True)))
 
-    def node(path: Column, value: Column, is_open: bool) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"), F.lit(is_open).alias("is_open"))
-
-    out = df.select(*keep, F.inline(children(None, F.col(record))))
-    path, value = F.col("path"), F.col("value")
-    none = F.array().cast("array<struct<path: string, value: variant, is_open: boolean>>")
+    root = F.array().cast("array<string>") if under is None else F.col(under)
+    out = df.select(*keep, F.inline(children(root, F.col(record), under is not None)))
+    keys, value = F.col("keys"), F.col("value")
+    none = F.array().cast(f"array<{NODE}>")
     for _ in range(max_depth - 1):
-        below = F.coalesce(F.when(F.col("is_open"), children(path, value)), none)
-        out = out.select(*keep, F.inline(F.concat(F.array(node(path, value, False)), below)))
-    deeper = F.col("is_open") & (F.size(F.coalesce(children(path, value), none)) > 0)
-    return out.select(*keep, "path", "value", deeper.alias("unopened"))
+        below = F.coalesce(F.when(F.col("is_open"), children(keys, value)), none)
+        out = out.select(*keep, F.inline(F.concat(F.array(node(keys, value, False)), below)))
+    deeper = F.col("is_open") & (F.size(F.coalesce(children(keys, value), none)) > 0)
+    return out.select(*keep, "keys", F.array_join("keys", ".").alias("path"), "value", deeper.alias("unopened"))
+
+
+def walk_whole(df: DataFrame, record: str, keep: list[str], step: int = 8) -> DataFrame:
+    """Every node at any depth: ``keys``, ``path``, ``value``.
+
+    The nodes that ``step`` levels leave unopened are stored and walked from there, again and again until none is left.
+    Records without such nodes are walked once; finding out opens their containers a second time.
+    """
+    parts, frontier, under = [], df.select(*keep, F.col(record).alias("_from")), None
+    while True:
+        nodes = walk(frontier, "_from", keep, step, under)
+        parts.append(nodes.drop("unopened"))
+        left = nodes.filter("unopened").select(*keep, F.col("keys").alias("_under"), F.col("value").alias("_from"))
+        frontier, under = cut_lineage(left), "_under"
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
 
 
 def parse_whole(text: Column) -> Column:

@@ -9,6 +9,7 @@ from corpus_engine.functions import records as R
 from corpus_engine.functions import text as X
 from corpus_engine.operators import records as K
 from corpus_engine.plans.registry import query
+from corpus_engine.session import cut_lineage
 
 DEPTH = 3
 ID = ["file_id", "l_orderkey", "l_partkey", "l_linenumber"]
@@ -395,7 +396,7 @@ def a3_flat(spark, d):
 
 @query("a4_discovered_keys", "SELECT DISTINCT path, type FROM node_rows", LINE_CTES)
 def a4(spark, d):
-    return K.discover_keys(variants(spark, d), "v", max_depth=DEPTH)
+    return K.discover_keys(variants(spark, d), "v").drop("keys")
 
 
 TERMS = ["household", "red widget"]
@@ -412,7 +413,7 @@ def found(spark, d):
 
 @query("a4_filtered_keys", "SELECT * FROM found", {**LINE_CTES, "found": FOUND})
 def a4_filtered(spark, d):
-    return found(spark, d)
+    return found(spark, d).drop("keys")
 
 
 @query(
@@ -425,5 +426,6 @@ def a4_filtered(spark, d):
     {**LINE_CTES, "flat_catalog": FLAT_CATALOG, "found": FOUND},
 )
 def j10(spark, d):
-    out = K.match_keys(found(spark, d), flat(spark, d))
+    # Both inputs are as many rows as there are keys; stored, so that the records behind them are walked once.
+    out = K.match_keys(cut_lineage(found(spark, d)), cut_lineage(flat(spark, d)))
     return out.withColumn("json_path", F.array_join("json_path", "/"))
