@@ -33,7 +33,7 @@ SCALE = 1_000_000
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 BLOCK_BYTES = 2 << 20
 #: So many counts are held by a task before it hands them on.
-MOST_HELD = 1 << 20
+MOST_HELD = 1 << 18
 #: The first frontier has so many pairs for each phrase asked for, later ones so many times more.
 FIRST_NODES, GROWTH = 4, 8
 NO_LANGUAGE = "und"
@@ -224,10 +224,9 @@ def count(texts: DataFrame, size: int, attempt: int, filters: tuple[Filter, ...]
 def count_words(texts: DataFrame) -> tuple[DataFrame, int]:
     """(lang, h1, n, word) of all words, and the attempt whose hashes tell them apart."""
     for attempt in range(8):
-        rows = count(texts, 1, attempt).groupBy("lang", "h1").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
-        rows = stored(rows)
-        if rows.filter("word <> other").isEmpty():
-            return rows.drop("other"), attempt
+        rows = stored(count(texts, 1, attempt).groupBy("lang", "h1", "word").agg(F.sum("n").alias("n")))
+        if rows.groupBy("lang", "h1").count().filter(F.col("count") > 1).isEmpty():
+            return rows, attempt
     raise ArithmeticError("eight hashes of 64 bits in a row do not tell all words apart")
 
 
