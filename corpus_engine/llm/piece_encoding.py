@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ MARKER, BORDER = "▁", "\n"
 #: A model is sent with every task, so its size is checked.
 MOST_MODEL_BYTES = 64 << 20
 BLOCK_BYTES = 10 << 20
-#: A bucket of the table of distinct chunks is asked for about so many, each once by a block.
-BUCKET_CHUNKS = 200_000
+BLOCK_ROWS = 1 << 16
+#: The table of distinct chunks has a bucket for so many bytes of text.
+BUCKET_BYTES = 5 << 20
 #: So many numbers are worked on at once.
 WINDOW = 1 << 18
 ROW = ["block", "row", "first", "n", "letters", "lengths", "counts", "places"]
@@ -160,9 +162,14 @@ def cut_into_chunks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES)
     kept = [c for c in docs.columns if c != text]
     ordered = docs.select(F.col(text), *kept)
 
-    def rows(block: int, texts: pa.Array, row: pa.Array) -> Iterator[pa.RecordBatch]:
+    def rows(number: int, texts: pa.Array, row: pa.Array) -> Iterator[pa.RecordBatch]:
         # One block of `blocks` holds all texts here, since block_bytes cut the texts before.
         _, _, data, offsets = next(blocks(texts, 1 << 62, 1 << 62))
+        # A block is known by what it holds, so that it is the same whenever it is cut; one without chunks asks for
+        # nothing and may have any name. Blocks that are equal in all columns share their positions and ids.
+        columns = pa.RecordBatch.from_arrays([row], names=["row"]).serialize()
+        named = xxhash.xxh3_64_intdigest(columns, seed=xxhash.xxh3_64_intdigest(data)) if len(data) else number
+        block = int(np.uint64(named).astype(np.int64))
         chunks, first = cut(data, offsets)
         coded = chunks.dictionary_encode()
         by_name = pc.sort_indices(coded.dictionary)
@@ -189,7 +196,7 @@ def cut_into_chunks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES)
         return pc.if_else(pc.equal(texts, ""), texts, spaced)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         texts, held, size = [], [], 0
         for batch in batches:
             row = pa.StructArray.from_arrays([pa.array(np.zeros(len(batch), bool)), *batch.columns[1:]], names=["_", *batch.schema.names[1:]])
@@ -197,11 +204,11 @@ def cut_into_chunks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES)
                 texts.append(marked(batch.column(0)[start:stop]))
                 held.append(row[start:stop])
                 size += len(data)
-                if size >= block_bytes:
-                    yield from rows(block, pa.concat_arrays(texts), pa.concat_arrays(held))
-                    block, texts, held, size = block + 1, [], [], 0
+                if size >= block_bytes or sum(map(len, held)) >= BLOCK_ROWS:
+                    yield from rows(number, pa.concat_arrays(texts), pa.concat_arrays(held))
+                    number, texts, held, size = number + 1, [], [], 0
         if texts:
-            yield from rows(block, pa.concat_arrays(texts), pa.concat_arrays(held))
+            yield from rows(number, pa.concat_arrays(texts), pa.concat_arrays(held))
 
     fields = ", ".join(["_: boolean", *(f"`{f.name}`: {f.dataType.simpleString()}" for f in ordered.schema.fields[1:])])
     return ordered.mapInArrow(run, f"block long, row struct<{fields}>, first long, n long, letters binary, lengths binary, counts binary, places binary")
@@ -292,19 +299,22 @@ def assemble(table: pa.Table) -> tuple[pa.Array, pa.Array]:
     return row.take(pa.array(order)), pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(took))
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_chunks: int = BUCKET_CHUNKS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, settled: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, and ``_ids``: what the library's ``encode`` gives for the whole text.
 
     No begin or end ids, no sampling. Null and empty texts have no ids; repeated rows each have theirs; an empty
     table gives an empty result. A column named ``_ids`` is replaced, other names don't clash. A text is held
-    whole by the task that cuts it and the one that puts it together.
+    whole by the task that cuts it and the one that puts it together. Texts are cut twice, for the chunks and for their
+    positions, which costs less than to write both: so rows that are ``settled`` (a table read from files, which come in
+    the same order again) are read twice, others are stored first.
     """
     model = read_model(model_path)
     docs = docs.drop("_ids") if text != "_ids" else docs
+    docs = docs if settled else stored(docs)
     kept = [c for c in docs.columns if c != text]
-    pieces = stored(cut_into_chunks(docs, text, block_bytes))
+    pieces = cut_into_chunks(docs, text, block_bytes)
     own = pieces.filter("counts IS NOT NULL")
-    buckets = (own.agg(F.sum("n")).first()[0] or 0) // bucket_chunks + 1
+    buckets = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // bucket_bytes + 1
     replies = segment(deal(own, buckets), model)
     none = lambda c: F.lit(None).cast("binary").alias(c)
     asked = pieces.select("block", "row", "first", "n", "counts", "places", none("numbers"), none("sizes"), none("ids"))

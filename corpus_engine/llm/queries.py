@@ -127,7 +127,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Pieces of every document, and digests of its ids and of the text decoded from them."""
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
-    ids = piece_encoding.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = piece_encoding.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path, settled=True)
     out = piece_encoding.decode(ids, path)
     listed = F.array_join(F.col("_ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("_text", 256).alias("decoded_sha256"))
