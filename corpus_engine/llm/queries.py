@@ -32,11 +32,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page through a WARC archive and back: length and digest of its payload, and what it revisits."""
-    pages = load(spark, sf_dir, "pages")
-    # The id of a record holds a hash of its payload before that of the page, so that a repeated page id is no clash.
-    payload_hash = F.lpad(F.hex(F.xxhash64("html")), 16, "0")
-    record_id = F.concat(payload_hash, F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    """Each page through a WARC archive and back: length and digest of its payload, and what it revisits.
+
+    Every row is a record of its own, also rows without a page id and rows that are equal in everything: the id of a record
+    begins with the row's place in the table, which is the same whenever the table's files are read.
+    """
+    pages = load(spark, sf_dir, "pages").withColumn("_row", F.monotonically_increasing_id())
+    record_id = F.concat(F.lpad(F.hex("_row"), 16, "0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     page_of = lambda c: F.substring(c, 17, 20).try_cast("long")
     order = F.coalesce(page_of(F.col("record_id")), F.lit((1 << 63) - 1))
     files = warc.archive(pages, record_id, order, F.col("url"), F.col("html"), shared_folder(spark))
@@ -205,10 +207,11 @@ digests AS (
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
       (CAST('0x' || substr(hexed, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest
   FROM hashed),
-firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM digests)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first,
+    row_number() OVER (PARTITION BY payload_digest, payload_bytes ORDER BY page_id NULLS LAST) AS place FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first END AS refers_to
 FROM firsts
 """
 
