@@ -273,10 +273,12 @@ def walk_whole(df: DataFrame, record: str, keep: list[str], step: int = 8) -> Da
 def parse_whole(text: Column) -> Column:
     """Variant of a text that is one JSON value; null for any other, also for one with a tail.
 
-    The parser stops at the end of the first value, so the text is read as the only element of a list.
+    The parser stops at the end of the first value, so the text is read as the only element of a list. A text that
+    closes that list itself can't also be the only member of an object.
     """
     listed = elements(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    return bind(listed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    closed = text.contains("]") & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNull()
+    return bind(listed, lambda found: F.when((F.size(found) == 1) & ~closed, F.get(found, F.lit(0))))
 
 
 def at_path(v: Column, json_path: list[str], dtype: str = "string") -> Column:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.language import guess_language
 from corpus_engine.functions.records import leaves_text, text_leaves
-from corpus_engine.functions.text import clean_value, label
+from corpus_engine.functions.text import NO_VALUE, clean_value, label
 from corpus_engine.operators.chunks import chunk_files
 from corpus_engine.operators.inference import embed
+from corpus_engine.sources.readers import NA_TOKENS
 
 RAGGED = "_cells"
 
@@ -40,15 +41,31 @@ def json_parts(text: str) -> list[str] | None:
         at = end
 
 
+def numbered(header: list[str]) -> list[str]:
+    """Column names, a repeated one with the first number that makes it another: ``a``, ``a.1``."""
+    out: dict[str, None] = {}
+    for name in header:
+        n, new = 0, name
+        while new in out:
+            n, new = n + 1, f"{name}.{n + 1}"
+        out[new] = None
+    return list(out)
+
+
 def csv_parts(text: str) -> list[str] | None:
-    """Rows below the header as JSON objects of texts; a row with more or fewer cells has them as a list."""
+    """Rows below the header as JSON objects of texts, missing values as ``(sin valor)``.
+
+    A repeated name in the header is numbered; a row with more or fewer cells has them as a list, as they are written.
+    """
     csv.field_size_limit(sys.maxsize)  # cells of any length; it holds for the process
     try:
         rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
     except csv.Error:
         return None
     header, *rest = rows or [[]]
-    held = (dict(zip(header, r)) if len(r) == len(header) else {RAGGED: r} for r in rest)
+    names = numbered(header)
+    known = lambda cells: [NO_VALUE if c in NA_TOKENS else c for c in cells]
+    held = (dict(zip(names, known(r))) if len(r) == len(names) else {RAGGED: r} for r in rest)
     return [json.dumps(r, ensure_ascii=False) for r in held]
 
 

@@ -10,7 +10,7 @@ from corpus_engine.session import cut_lineage
 #: A part of a key holds about so many rows of each side, and so at most about their square of pairs.
 PART_ROWS = 5_000
 #: Frequent keys are sent to all tasks up to this number, and joined like any other table beyond.
-MOST_SENT = 100_000
+MOST_SENT = 10_000
 
 
 def frequent_keys(left: DataFrame, right: DataFrame, on: list[str], part_rows: int = PART_ROWS) -> DataFrame:
@@ -34,11 +34,14 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], part_rows: int
     Null keys meet nothing. Columns that both sides have besides the keys are kept apart by their frames, as in a join.
     """
     left = left.dropna(subset=on)
-    frequent = cut_lineage(frequent_keys(left, right, on, part_rows))
-    n = frequent.count()
-    if not n:
+    frequent = frequent_keys(left, right, on, part_rows)
+    first = frequent.take(MOST_SENT + 1)
+    if not first:
         return left.join(right, on)
-    frequent = F.broadcast(frequent) if n <= MOST_SENT else frequent
+    if len(first) <= MOST_SENT:
+        frequent = F.broadcast(left.sparkSession.createDataFrame(first, frequent.schema))
+    else:
+        frequent = cut_lineage(frequent)
 
     def dealt(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         number = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col(own)), F.lit(0)).cast("int")

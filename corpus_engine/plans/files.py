@@ -19,6 +19,7 @@ from corpus_engine.plans.chunks import texts as file_texts
 from corpus_engine.plans.registry import query
 from corpus_engine.plans.reports import csv_answers
 from corpus_engine.session import shared_folder
+from corpus_engine.sources import ranges as G2
 from corpus_engine.sources import readers as R
 from corpus_engine.sources import writers as W
 from corpus_engine.streaming import ingest, turns
@@ -48,14 +49,39 @@ def s1(spark, d):
     )
 
 
-@query(
-    "s2_csv_rows",
-    """SELECT c_custkey::VARCHAR AS c_custkey, m AS c_mktsegment,
+@query("s1_json_ranges", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS kind FROM events")
+def s1_ranges(spark, d):
+    """All events as JSON lists, a list a file, read back in ranges."""
+    path = shared_folder(spark)
+    entry = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "props": '), "props", F.lit(', "kind": "'), "event_type", F.lit('"}'))
+    W.write_json_lists(T.load(spark, d, "events").select(entry.alias("entry")), path)
+    entries, _ = G2.read_json_ranges(spark, path)
+    get = F.try_variant_get
+    return entries.select(
+        get("entry", "$.id", "long").alias("event_id"), get("entry", "$.props.k", "long").alias("k"), get("entry", "$.kind", "string").alias("kind")
+    )
+
+
+S2_SQL = """SELECT c_custkey::VARCHAR AS c_custkey, m AS c_mktsegment,
               'C custkey: ' || c_custkey || chr(10) || 'C name: ' || c_name || ', Sr "x"' || chr(10)
                 || 'C mktsegment: ' || m AS text
-       FROM (SELECT *, CASE WHEN c_custkey % 4 < 3 THEN '(sin valor)' ELSE c_mktsegment END AS m FROM customer)""",
-)
+       FROM (SELECT *, CASE WHEN c_custkey % 4 < 3 THEN '(sin valor)' ELSE c_mktsegment END AS m FROM customer)"""
+
+
+@query("s2_csv_ranges", S2_SQL)
+def s2_ranges(spark, d):
+    rows, _ = G2.read_csv_ranges(spark, written_customers(spark, d))
+    return R.csv_texts(rows).select("c_custkey", "c_mktsegment", "text")
+
+
+@query("s2_csv_rows", S2_SQL)
 def s2(spark, d):
+    rows, _ = R.read_csv_rows(spark, written_customers(spark, d))
+    return R.csv_texts(rows).select("c_custkey", "c_mktsegment", "text")
+
+
+def written_customers(spark, d):
+    """Folder of CSV files with line ends and quotes in cells, and several words for a missing value."""
     path = shared_folder(spark)
     k = F.col("c_custkey")
     segment = F.when(k % 4 == 0, "NaN").when(k % 4 == 1, "N/A").when(k % 4 == 3, F.col("c_mktsegment"))
@@ -63,8 +89,7 @@ def s2(spark, d):
         "c_custkey", F.concat("c_name", F.lit(', Sr\n"x"')).alias("c_name"), segment.alias("c_mktsegment")
     )
     customers.write.csv(path, header=True, escape='"')
-    rows, _ = R.read_csv_rows(spark, path)
-    return R.csv_texts(rows).select("c_custkey", "c_mktsegment", "text")
+    return path
 
 
 def file_contents(spark, d):
@@ -134,7 +159,7 @@ def all_formats(spark, d):
     records = F.concat(
         F.lit('[{"doc_id": '), k.cast("string"), F.lit(', "importe": 12345678.90},\n {"fuente": {"nombre": "'), "source", F.lit('"}, "nada": null}]')
     )
-    rows = F.concat(F.lit("doc_id,fuente_larga\n"), k.cast("string"), F.lit(',"a ""b"",\n c"\nNA,'), "source", F.lit("\n1,2,3\n"))
+    rows = F.concat(F.lit("doc_id,fuente_larga,fuente_larga\n"), k.cast("string"), F.lit(',"a ""b"",\n c",x\nNA,'), "source", F.lit(",n/a\n1,2\n"))
     docs = T.load_spread(spark, d, "documents", ["doc_id", "text", "source"])
     content = F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, records).otherwise(rows)
     name = F.concat(k.cast("string"), F.lit("."), T.pick(["txt", "json", "csv"], k % 3))
@@ -152,11 +177,11 @@ ALL_FORMATS_SQL = r"""
         '{"doc_id": ' || doc_id || ', "importe": 12345678.90}', '.json' FROM documents WHERE doc_id % 3 = 1
       UNION ALL SELECT doc_id, 1, 'Fuente.nombre: ' || source, '{"fuente": {"nombre": "' || source || '"}, "nada": null}', '.json'
         FROM documents WHERE doc_id % 3 = 1
-      UNION ALL SELECT doc_id, 0, 'Doc id: ' || doc_id || chr(10) || 'Fuente larga: a "b", c',
-        '{"doc_id": "' || doc_id || '", "fuente_larga": "a \"b\",\n c"}', '.csv' FROM documents WHERE doc_id % 3 = 2
-      UNION ALL SELECT doc_id, 1, 'Doc id: NA' || chr(10) || 'Fuente larga: ' || source,
-        '{"doc_id": "NA", "fuente_larga": "' || source || '"}', '.csv' FROM documents WHERE doc_id % 3 = 2
-      UNION ALL SELECT doc_id, 2, ' cells.0: 1' || chr(10) || ' cells.1: 2' || chr(10) || ' cells.2: 3', '{"_cells": ["1", "2", "3"]}', '.csv'
+      UNION ALL SELECT doc_id, 0, 'Doc id: ' || doc_id || chr(10) || 'Fuente larga: a "b", c' || chr(10) || 'Fuente larga.1: x',
+        '{"doc_id": "' || doc_id || '", "fuente_larga": "a \"b\",\n c", "fuente_larga.1": "x"}', '.csv' FROM documents WHERE doc_id % 3 = 2
+      UNION ALL SELECT doc_id, 1, 'Doc id: (sin valor)' || chr(10) || 'Fuente larga: ' || source || chr(10) || 'Fuente larga.1: (sin valor)',
+        '{"doc_id": "(sin valor)", "fuente_larga": "' || source || '", "fuente_larga.1": "(sin valor)"}', '.csv' FROM documents WHERE doc_id % 3 = 2
+      UNION ALL SELECT doc_id, 2, ' cells.0: 1' || chr(10) || ' cells.1: 2', '{"_cells": ["1", "2"]}', '.csv'
         FROM documents WHERE doc_id % 3 = 2)
     SELECT file_id, chunk_index, text, text_json, file_id || ext AS source, CAST(length(text) AS BIGINT) AS chunk_size, 64::INT AS dims FROM parts"""
 

@@ -9,10 +9,13 @@ from corpus_engine.functions import text as X
 from corpus_engine.functions.questions import search_terms
 from corpus_engine.functions.text import bind
 from corpus_engine.operators import catalog as C
+from corpus_engine.operators import likeness
+from corpus_engine.operators import question_search as Q
 from corpus_engine.operators import structured as S
-from corpus_engine.plans.records import ID, ID_SQL, sql_resembles, sql_trigrams, variants
+from corpus_engine.plans.records import DEPTH, ID, ID_SQL, sql_resembles, sql_trigrams, variants
 from corpus_engine.plans.registry import query
 from corpus_engine.plans.retrieval import CTES as SEARCH_CTES
+from corpus_engine.operators import retrieval as R
 from corpus_engine.plans.retrieval import context_hits
 
 # Keys of the order records as the key match reports them.
@@ -246,3 +249,157 @@ def u5(spark, d):
 )
 def u5_modes(spark, d):
     return both_searches(spark, d)[1]
+
+
+# Every question of an order is asked in the JSON files of its customer's context.
+ITEM_SQL = "l_orderkey || '-' || l_partkey || '-' || l_linenumber"
+ALIKE = f"""
+    SELECT term, text, i / (len(a) + len(b) - i) AS similarity FROM
+      (SELECT term, text, a, b, len(list_intersect(a, b)) AS i FROM
+        (SELECT DISTINCT term, {sql_trigrams("term")} AS a FROM question_terms) CROSS JOIN
+        (SELECT DISTINCT text, {sql_trigrams("text")} AS b FROM leaf_values WHERE text IS NOT NULL))
+    WHERE i >= 0.3 * (len(a) + len(b) - i) AND i > 0"""
+QUESTION_CTES = {
+    "asked": """
+        SELECT qid, shape IN (3, 4, 5, 6) AS has_terms, shape = 4 AS has_years, shape IN (0, 5) AS has_range,
+               shape IN (1, 6) AS has_quantity, y AS low, CASE shape WHEN 0 THEN y + 2 ELSE y + 1 END AS high,
+               shape = 1 AS above, price,
+               (shape IN (3, 4, 5, 6))::INT + (shape = 4)::INT + (shape IN (0, 5))::INT + (shape IN (1, 6))::INT AS blocks
+        FROM questions WHERE shape NOT IN (2, 7)""",
+    "question_terms": "SELECT qid, CASE shape WHEN 3 THEN s || ' popular' ELSE s END AS term FROM questions WHERE shape IN (3, 4, 5, 6)",
+    "question_scope": """
+        SELECT DISTINCT o_orderkey AS qid, cf.file_id FROM orders JOIN context_files cf ON cf.context_id = o_custkey
+        JOIN files f ON f.file_id = cf.file_id WHERE ext = 'json'""",
+    "line_leaves": f"""
+        SELECT * FROM (SELECT file_id, {ITEM_SQL} AS item, unnest(
+          [{{'path': 'anio', 'type': 'number', 'text': anio::VARCHAR}}, {{'path': 'estado', 'type': 'string', 'text': estado}},
+           {{'path': 'total', 'type': 'number', 'text': total::VARCHAR}},
+           {{'path': 'urgente', 'type': 'boolean', 'text': urgente::VARCHAR}},
+           {{'path': 'cliente.nombre', 'type': 'string', 'text': nombre}},
+           {{'path': 'cliente.segmento', 'type': 'string', 'text': segmento}},
+           {{'path': 'partidas.articulo', 'type': 'string', 'text': art0}},
+           {{'path': 'partidas.cantidad', 'type': 'number', 'text': cant0::VARCHAR}},
+           {{'path': 'partidas.articulo', 'type': 'string', 'text': art1}},
+           {{'path': 'partidas.cantidad', 'type': 'number', 'text': cant1::VARCHAR}},
+           {{'path': 'nota_interna', 'type': 'string', 'text': nota}}]
+          || list_transform(etiquetas, lambda e: {{'path': 'etiquetas', 'type': 'string', 'text': e}}), recursive := true)
+        FROM order_lines WHERE file_id IN (SELECT file_id FROM question_scope)) WHERE text IS NOT NULL""",
+    "leaf_values": "SELECT DISTINCT file_id, path, type, text FROM line_leaves",
+    "alike": ALIKE,
+    "found_keys": """
+        SELECT DISTINCT qid, path, type FROM (
+          SELECT t.qid, v.path, v.type FROM question_terms t JOIN alike a ON a.term = t.term
+            JOIN question_scope s ON s.qid = t.qid JOIN leaf_values v ON v.file_id = s.file_id AND v.text = a.text
+          UNION ALL
+          SELECT q.qid, v.path, v.type FROM asked q JOIN question_scope s ON s.qid = q.qid JOIN leaf_values v ON v.file_id = s.file_id
+          WHERE v.type = 'number' AND (has_quantity OR (has_range AND regexp_matches(text, '\\b[0-9]{4}\\b'))
+                                       OR (has_years AND regexp_matches(text, '\\b' || low || '\\b'))))""",
+    "used_keys": """
+        SELECT DISTINCT f.qid, c.key, f.type FROM found_keys f
+        JOIN (SELECT DISTINCT qid, path AS key FROM question_scope JOIN (SELECT DISTINCT file_id, path FROM leaf_values) USING (file_id)) c
+          ON c.qid = f.qid AND len(string_split(c.key, '.')) = len(string_split(f.path, '.')) AND contains(c.key, f.path)""",
+    "question_met": """
+        SELECT k.qid, l.file_id, l.item, 1 AS block, a.similarity AS score
+        FROM used_keys k JOIN question_terms t ON t.qid = k.qid JOIN alike a ON a.term = t.term JOIN question_scope s ON s.qid = k.qid
+        JOIN line_leaves l ON l.file_id = s.file_id AND l.path = k.key AND l.text = a.text AND l.type = 'string' WHERE k.type = 'string'
+        UNION ALL
+        SELECT k.qid, l.file_id, l.item, 2, 0 FROM used_keys k JOIN asked q ON q.qid = k.qid JOIN question_scope s ON s.qid = k.qid
+        JOIN line_leaves l ON l.file_id = s.file_id AND l.path = k.key
+        WHERE has_quantity AND k.type = 'number' AND l.type = 'number' AND CASE WHEN above THEN text::DOUBLE > price ELSE text::DOUBLE < price END
+        UNION ALL
+        SELECT k.qid, l.file_id, l.item, 3, 0 FROM used_keys k JOIN asked q ON q.qid = k.qid JOIN question_scope s ON s.qid = k.qid
+        JOIN line_leaves l ON l.file_id = s.file_id AND l.path = k.key
+        WHERE has_years AND k.type = 'number' AND l.type = 'number' AND regexp_matches(text, '\\b' || low || '\\b')
+        UNION ALL
+        SELECT k.qid, l.file_id, l.item, 4, 0 FROM used_keys k JOIN asked q ON q.qid = k.qid JOIN question_scope s ON s.qid = k.qid
+        JOIN line_leaves l ON l.file_id = s.file_id AND l.path = k.key
+        WHERE has_range AND k.type IN ('number', 'string') AND regexp_full_match(text, '[0-9]{4}') AND try_cast(text AS INT) BETWEEN low AND high""",
+    "question_found": """
+        SELECT m.qid, 'search' AS mode, file_id, item, max(score) AS score FROM question_met m JOIN asked q ON q.qid = m.qid
+        GROUP BY m.qid, file_id, item, blocks HAVING count(DISTINCT block) = blocks
+        UNION ALL
+        SELECT qid, 'fallback', file_id, item, 0 FROM
+          (SELECT qid, file_id, item, row_number() OVER (PARTITION BY qid ORDER BY file_id, item) AS n FROM asked JOIN question_scope USING (qid)
+           JOIN (SELECT DISTINCT file_id, item FROM line_leaves) USING (file_id) WHERE qid NOT IN (SELECT qid FROM used_keys)) WHERE n <= 20""",
+    "question_best": """
+        SELECT qid, mode, count(*) OVER (PARTITION BY qid) AS n_rows, file_id, item, score,
+               row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_id, item) AS rank FROM question_found""",
+}
+
+
+def question_scope(spark, d):
+    files = T.files(spark, d).filter(C.is_structured()).select("file_id")
+    asked = T.load(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_custkey").alias("context_id"))
+    return asked.join(T.context_files(spark, d), "context_id").join(files, "file_id", "left_semi").select("qid", "file_id")
+
+
+def question_records(spark, d):
+    item = F.concat_ws("-", *[F.col(c).cast("string") for c in ID[1:]])
+    return variants(spark, d).withColumn("item", item)
+
+
+def question_hits(spark, d):
+    questions = search_terms(T.questions(spark, d), "text").select("qid", "search")
+    leaves = Q.leaf_rows(question_records(spark, d), "v", "file_id", "item", max_depth=DEPTH)
+    scope = question_scope(spark, d)
+    # Only files that some question may read are walked into leaves and stored.
+    leaves = leaves.join(scope.select("file_id").distinct(), "file_id", "left_semi")
+    return Q.search_records(questions, scope, leaves)
+
+
+@query(
+    "p15_question_search",
+    "SELECT qid, mode, n_rows, file_id, item, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM question_best WHERE rank <= 20",
+    QUESTION_CTES,
+)
+def p15_questions(spark, d):
+    return question_hits(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "t6_question_preview",
+    """SELECT o_orderkey AS qid, coalesce(max(n_rows), 0) AS n_rows,
+              coalesce(string_agg('--- REGISTRO ' || rank || ' ---' || chr(10) || '["' || item || '"]' || chr(10), chr(10) ORDER BY rank)
+                       FILTER (WHERE rank <= 15), 'No se encontraron datos estructurados para esta consulta.') AS preview
+       FROM orders LEFT JOIN question_best ON qid = o_orderkey GROUP BY o_orderkey""",
+    QUESTION_CTES,
+)
+def t6_questions(spark, d):
+    line = F.concat(F.lit('["'), F.col("item"), F.lit('"]'))
+    shown = S.numbered(question_hits(spark, d).withColumn("line", line), "qid", "rank", "line")
+    return S.preview_or_notice(T.load(spark, d, "orders").select(F.col("o_orderkey").alias("qid")), shown, "qid")
+
+
+@query(
+    "u5_question_modes",
+    """SELECT o_orderkey AS qid, coalesce(j, 0) AS n_json, coalesce(t, 0) AS n_text,
+              CASE WHEN j > 0 AND t > 0 THEN 'hybrid' WHEN j > 0 THEN 'json_only' WHEN t > 0 THEN 'rag' ELSE 'none' END AS mode
+       FROM orders LEFT JOIN (SELECT qid, least(max(n_rows), 20) AS j FROM question_best GROUP BY qid) a ON a.qid = o_orderkey
+       LEFT JOIN (SELECT report_id AS qid, count(*) AS t FROM report_ranked WHERE rank <= 5 GROUP BY ALL) b ON b.qid = o_orderkey""",
+    {**SEARCH_CTES, **QUESTION_CTES},
+)
+def u5_question_modes(spark, d):
+    """Both searches for every question: its own conditions in JSON files, its vector in the files of its report."""
+    structured = question_hits(spark, d)
+    scope = T.report_files(spark, d).withColumnRenamed("report_id", "qid")
+    text = R.search(T.report_questions(spark, d), scope, T.stored_chunks(spark, d), k=5, files=T.files(spark, d))
+    text = text.select("qid", "file_id", F.col("chunk_index").cast("string").alias("item"))
+    return S.hybrid(T.load(spark, d, "orders").select(F.col("o_orderkey").alias("qid")), structured, text)[1]
+
+
+@query(
+    "p14_term_table",
+    f"""SELECT term, text, round(similarity, 6) AS similarity FROM
+          (SELECT term, text, i / (len(a) + len(b) - i) AS similarity FROM
+            (SELECT term, text, len(list_intersect(a, b)) AS i, a, b FROM
+              (SELECT DISTINCT p_type AS term, {sql_trigrams("p_type")} AS a FROM part) CROSS JOIN
+              (SELECT DISTINCT p_name AS text, {sql_trigrams("p_name")} AS b FROM part
+               UNION SELECT DISTINCT p_brand, {sql_trigrams("p_brand")} FROM part
+               UNION SELECT DISTINCT p_type, {sql_trigrams("p_type")} FROM part)))
+        WHERE similarity >= 0.3""",
+)
+def p14_terms(spark, d):
+    part = T.load(spark, d, "part")
+    texts = part.select(F.explode(F.array("p_name", "p_brand", "p_type")).alias("text"))
+    out = likeness.similar_texts(texts, part.select(F.col("p_type").alias("term")))
+    return out.withColumn("similarity", F.round("similarity", 6))

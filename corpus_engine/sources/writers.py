@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,21 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     ordered.write.mode(mode).partitionBy("language").parquet(path)
 
 
+def write_json_lists(entries: DataFrame, path: str, entry: str = "entry") -> None:
+    """JSON texts as lists, one file and list per partition; partitions without rows give an empty list."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        mark = " "
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"value": [mark + pdf.iloc[0, 0], *("," + x for x in pdf.iloc[1:, 0])]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]"]})
+
+    entries.select(entry).mapInPandas(lines, "value string").write.text(path)
+
+
 def write_geojson(features: DataFrame, path: str, order: list[str], feature: str = "feature") -> None:
     """FeatureCollection in parts that are one document when joined in name order.
 

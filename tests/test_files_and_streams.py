@@ -135,6 +135,7 @@ def test_parts_of_files():
     assert G.json_parts("") is None and G.json_parts("[1,") is None and G.json_parts("[1] 2") is None
     assert G.csv_parts('a,b\n1,"x\ny"\n\n2\n') == ['{"a": "1", "b": "x\\ny"}', '{"_cells": ["2"]}']
     assert G.csv_parts("") == [] and G.csv_parts("a,b") == []
+    assert G.csv_parts("a,a,b,a.1\n1,2,n/a,\n") == ['{"a": "1", "a.1": "2", "b": "(sin valor)", "a.1.1": "(sin valor)"}']
 
 
 def test_stream_and_batch_cut_routed_files_alike(spark, tmp_path):
