@@ -11,6 +11,8 @@ from tests.harness import differences
 QUERIES, ORACLES = dict(registry.QUERIES), dict(registry.ORACLES)
 # Queries that write files or run a stream before they return.
 EAGER = {n for n in QUERIES if n.split("_")[0] in ("s1", "s2", "s5", "s6", "s7", "s8", "r1", "r2")}
+# These end in the steps of p15_question_search, whose plan is looked at.
+EAGER |= {"t6_question_preview", "u5_question_modes"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
