@@ -20,7 +20,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert set(queries.QUERIES) <= set(driver.queries()) and "pipeline" in driver.queries()
 
 
