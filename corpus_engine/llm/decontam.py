@@ -62,9 +62,9 @@ class Map:
         self.bits, self.held = bits, np.zeros(bits // 8, dtype=np.uint8)
 
     @classmethod
-    def of(cls, values: DataFrame, n: int) -> Map:
-        """Map of the column ``seed`` with ``n`` rows; its size follows ``n`` up to ``MOST_BITS``."""
-        out = cls(min(max(LEAST_BITS, 1 << (1024 * max(n, 1)).bit_length()), MOST_BITS))
+    def of(cls, values: DataFrame, n: int, each: int = 1024, most: int = MOST_BITS) -> Map:
+        """Map of the column ``seed`` with ``n`` rows; its size follows ``n``, with ``each`` bits a row, up to ``most``."""
+        out = cls(min(max(LEAST_BITS, 1 << (each * max(n, 1)).bit_length()), most))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -7,6 +7,10 @@ by the estimated number of candidates: a longer prefix has to share more tokens,
 two ``l``. A token that stands so late in either set that what follows can't make up the overlap counts for nothing.
 Candidates are verified exactly on the whole sets.
 
+Most tokens of prefixes are held by one class. They are found first, by their hashes alone, which travel packed by
+bucket; a bit map of the others, sized by their number up to a bound, then lets few rows into the shuffle that does
+not need to. A map that is full lets more through and loses none.
+
 Equal sets are one class from the start. Large groups of near copies are never written out as pairs: members of a
 token's list are first compared with one leader of the list, and linked ones fall into one component. Only lists
 that still hold different components are compared further, first the centres of their groups; the triangle
@@ -25,11 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpus_engine.llm.decontam import Map
 from corpus_engine.llm.frames import stored, text_batches
 from corpus_engine.llm.graph import components
 from corpus_engine.llm.words import blocks, mix, shingle_sets, words_of
@@ -45,6 +51,13 @@ LIST_ROWS = 4096
 #: Classes of a group that a task holds against as many others.
 BLOCK_CLASSES = 1024
 MAP_BITS = 1 << 24
+#: Tokens that a task packs at once, and those of all documents that a bucket is planned for.
+PACK_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 20
+LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 6, 20
+#: Bits of the map of repeated tokens: a value, and at most (64 MB).
+TOKEN_BITS, MOST_TOKEN_BITS = 16, 1 << 29
+#: Pairs of a class beyond which they are dealt to parts, each with its own copy of the class's text.
+HOT_PAIRS = 256
 
 
 def needed(n, percent: int):
@@ -131,39 +144,113 @@ def choose_matches(likely: np.ndarray, base: int) -> int:
     return int((total / steps + steps).argmin()) + 1
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``token, split, class_id, n, matches, place``: the prefix of each class, once per task; ``place`` from 0."""
-    sent = docs.sparkSession.sparkContext.broadcast((sketch, expected(sketch)))
-    shift = np.uint64(64 - SKETCH_BITS)
+class Prefixes:
+    """Chooses the prefix of each class, once per task (``done`` holds the classes that it has seen)."""
+
+    def __init__(self, sketch: np.ndarray, words: int, percent: int):
+        self.counts, self.likely, self.words, self.percent = sketch, expected(sketch), words, percent
+
+    def of(self, column: pa.Array, done: set[int]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(token, its expected list, class, n, matches, place) of the prefixes of each block of texts."""
+        shift = np.uint64(64 - SKETCH_BITS)
+        for _, sets, first in sets_of(column, self.words):
+            n, ids = np.diff(first), class_ids(sets, first)
+            bucket = (sets >> shift).astype(np.int64)
+            text = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((sets, self.counts[bucket], text))
+            tokens, bucket = sets[order], bucket[order]
+            base = n - needed(n, self.percent)
+            matches = np.ones(len(n), dtype=np.int64)
+            held = self.likely[bucket]
+            for i in range(len(n)):
+                if n[i] and ids[i] not in done:
+                    done.add(ids[i])
+                    matches[i] = choose_matches(held[first[i] : first[i + 1]], int(base[i]))
+                else:
+                    matches[i] = 0
+            length = np.where(matches > 0, base + matches, 0)
+            place = np.arange(len(tokens)) - first[:-1][text]
+            kept = place < length[text]
+            own = text[kept]
+            yield tokens[kept], held[kept], ids[own], n[own], matches[own], place[kept]
+
+
+LOW = np.uint64((1 << 48) - 1)
+
+
+def token_keys(low: np.ndarray, bucket: np.ndarray | np.uint64) -> np.ndarray:
+    """The value of a token in the map of repeated ones, from its 48 low bits and its bucket."""
+    return mix(low + bucket * np.uint64(0x9E3779B97F4A7C15))
+
+
+def repeated_tokens(docs: DataFrame, chosen: Prefixes, bucket_bits: int) -> DataFrame:
+    """``seed``: the values of tokens that stand twice in the prefixes of what tasks hold.
+
+    Tokens travel as 48 bits in one row per bucket and pack. Two tokens with one value, and copies of a class in
+    several tasks, let a token through that one class holds; no shared token is left out.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+    shift = np.uint64(64 - bucket_bits)
+
+    def pack(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.sort(np.concatenate(tokens))
+        third = np.zeros(len(rows), dtype=bool)
+        third[2:] = rows[2:] == rows[:-2]  # two of a value say all
+        rows = rows[~third]
+        low = (rows & LOW).view(np.uint8).reshape(-1, 8)[:, :6]
+        buckets, start = np.unique(rows >> shift, return_index=True)
+        packed = [x.tobytes() for x in np.split(low, start[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(buckets.view(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        held, n = [], 0
+        for batch in batches:
+            for tokens, *_ in sent.value.of(batch.column(0), done):
+                held.append(tokens)
+                n += len(tokens)
+                if n >= PACK_TOKENS:
+                    yield pack(held)
+                    held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def repeated(rows: pa.Table) -> pa.Table:
+        packed = np.frombuffer(b"".join(rows["tokens"].to_pylist()), np.uint8).reshape(-1, 6)
+        low = np.zeros((len(packed), 8), dtype=np.uint8)
+        low[:, :6] = packed
+        low = np.sort(low.view(np.uint64).ravel())
+        twice = np.unique(low[1:][low[1:] == low[:-1]])
+        return pa.table({"seed": token_keys(twice, np.uint64(rows["bucket"][0].as_py())).view(np.int64)})
+
+    return docs.select("text").mapInArrow(run, "bucket long, tokens binary").groupBy("bucket").applyInArrow(repeated, "seed long")
+
+
+def token_map(docs: DataFrame, chosen: Prefixes, n_shingles: int) -> tuple[Map, int]:
+    """The map of repeated tokens, and the bits of a token that name its bucket."""
+    in_prefixes = n_shingles * (100 - chosen.percent) // 100
+    bucket_bits = min(max((in_prefixes // BUCKET_TOKENS).bit_length(), LEAST_BUCKET_BITS), MOST_BUCKET_BITS)
+    twice = stored(repeated_tokens(docs, chosen, bucket_bits))
+    return Map.of(twice, twice.count(), TOKEN_BITS, MOST_TOKEN_BITS), bucket_bits
+
+
+def prefixes(docs: DataFrame, chosen: Prefixes, shared: Map, bucket_bits: int) -> DataFrame:
+    """``token, split, class_id, n, matches, place``: the prefix of each class, once per task, without tokens that
+    the map knows to be held once; ``place`` from 0."""
+    sent = docs.sparkSession.sparkContext.broadcast((chosen, shared))
+    shift = np.uint64(64 - bucket_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, likely = sent.value
+        prefix, twice = sent.value
         done: set[int] = set()
         for batch in batches:
-            for _, sets, first in sets_of(batch.column(0), words):
-                n, ids = np.diff(first), class_ids(sets, first)
-                bucket = (sets >> shift).astype(np.int64)
-                text = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((sets, counts[bucket], text))
-                tokens, bucket = sets[order], bucket[order]
-                base = n - needed(n, percent)
-                matches = np.ones(len(n), dtype=np.int64)
-                held = likely[bucket]
-                for i in range(len(n)):
-                    if n[i] and ids[i] not in done:
-                        done.add(ids[i])
-                        matches[i] = choose_matches(held[first[i] : first[i + 1]], int(base[i]))
-                    else:
-                        matches[i] = 0
-                length = np.where(matches > 0, base + matches, 0)
-                place = np.arange(len(tokens)) - first[:-1][text]
-                kept = place < length[text]
-                own, of = text[kept], bucket[kept]
-                rows = ids[own]
-                parts = likely[of] // LIST_ROWS + 1
+            for columns in prefix.of(batch.column(0), done):
+                kept = twice.maybe(token_keys(columns[0] & LOW, columns[0] >> shift))
+                tokens, listed, rows, n, matches, place = (x[kept] for x in columns)
+                parts = listed // LIST_ROWS + 1
                 split = np.where(parts > 1, (rows.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64), -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (tokens[kept].view(np.int64), split, rows, n[own], matches[own], place[kept])],
+                    [pa.array(x) for x in (tokens.view(np.int64), split, rows, n, matches, place)],
                     names=["token", "split", "class_id", "n", "matches", "place"],
                 )
 
@@ -198,7 +285,8 @@ def differing(one: bytes, two: bytes) -> int:
 
 
 class Texts:
-    """One text and the signature of each class that shares a token, in a table bucketed by class that joins don't shuffle."""
+    """One text (compressed) and the signature of each class that shares a token, in a table bucketed by class that
+    joins don't shuffle."""
 
     def __init__(self, docs: DataFrame, keys: DataFrame, words: int):
         spark = docs.sparkSession
@@ -223,7 +311,7 @@ class Texts:
         sent, words = self.spark.sparkContext.broadcast(keys), self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, done = sent.value, set()
+            held, done, packer = sent.value, set(), zstandard.ZstdCompressor(level=3)
             for batch in batches:
                 at = np.mod(batch.column(0).to_numpy(), MAP_BITS)
                 hit = np.flatnonzero((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
@@ -234,16 +322,37 @@ class Texts:
                     ids = class_ids(sets, first)
                     new = [i for i, x in enumerate(ids) if x and not (x in done or done.add(x))]
                     marks = pa.array([signature(sets[first[i] : first[i + 1]]) for i in new], pa.binary())
-                    own = texts.take(pa.array([row + i for i in new], pa.int64()))
+                    own = pa.array([packer.compress(texts[row + i].as_buffer()) for i in new], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(ids[new]), marks, own], names=["class_id", "mark", "text"])
 
-        return docs.select("text_key", "text").mapInArrow(run, "class_id long, mark binary, text string")
-
-    def least_distances(self, pairs: DataFrame) -> DataFrame:
+        return docs.select("text_key", "text").mapInArrow(run, "class_id long, mark binary, text binary")
+
+    def hot(self, pairs: DataFrame) -> DataFrame | None:
+        """``end, class_id, parts`` of the classes with many pairs; None if there are none. Pairs: stored."""
+        ends = [pairs.select(F.lit(end).alias("end"), F.col(end).alias("class_id")) for end in ("a", "b")]
+        counted = ends[0].unionByName(ends[1]).groupBy("end", "class_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_PAIRS)
+        found = stored(counted.select("end", "class_id", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("parts")))
+        return None if found.isEmpty() else found
+
+    def fetch(self, pairs: DataFrame, end: str, column: str, hot: DataFrame | None) -> DataFrame:
+        """Adds the ``column`` of the class at an end of each pair. Pairs of a hot class are dealt to parts by their
+        other end, and the class is copied for each part."""
+        held = self.spark.table(self.name).select(F.col("class_id").alias(end), F.col(column).alias(f"{column}_{end}"))
+        if hot is None:
+            return pairs.join(held, end)
+        own = hot.filter(F.col("end") == end).select(F.col("class_id").alias(end), "parts")
+        other = "b" if end == "a" else "a"
+        part = F.pmod(F.xxhash64(other), F.col("parts")).cast("int")
+        some = pairs.join(own, end).withColumn("part", part).drop("parts")
+        copies = held.join(own, end).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        rest = pairs.join(own, end, "left_anti").join(held, end)
+        return rest.unionByName(some.join(copies, [end, "part"]).drop("part"))
+
+    def least_distances(self, pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
         """``a, b, apart`` of ``a, b, n_a, n_b``: a lower bound of the distance of each pair."""
-        marks = self.spark.table(self.name)
-        left = pairs.select("a", "b", "n_a", "n_b").join(marks.select(F.col("class_id").alias("a"), F.col("mark").alias("mark_a")), "a")
-        rows = left.join(marks.select(F.col("class_id").alias("b"), F.col("mark").alias("mark_b")), "b")
+        rows = pairs.select("a", "b", "n_a", "n_b")
+        for end in ("a", "b"):
+            rows = self.fetch(rows, end, "mark", hot)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -258,18 +367,20 @@ class Texts:
         """Adds the ``mark`` of ``class_id``."""
         return rows.join(self.spark.table(self.name).select("class_id", "mark"), "class_id")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
         """``a, b, shared, joined``: sizes of the intersection and union of the sets of each pair of classes."""
-        texts = self.spark.table(self.name)
-        left = pairs.select("a", "b").join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), "a")
-        rows = left.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b")), "b")
+        rows = pairs.select("a", "b")
+        for end in ("a", "b"):
+            rows = self.fetch(rows, end, "text", hot)
         rows, words = rows.select("a", "b", "text_a", "text_b"), self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opener = zstandard.ZstdDecompressor()
             for batch in batches:
                 for part in range(0, batch.num_rows, 64):
                     rows = batch.slice(part, 64)
-                    one, two = ([sets[first[i] : first[i + 1]] for _, sets, first in sets_of(rows.column(c), words) for i in range(len(first) - 1)] for c in (2, 3))
+                    sides = (pa.array([opener.decompress(x.as_buffer()) for x in rows.column(c)], pa.binary()).cast(pa.string()) for c in (2, 3))
+                    one, two = ([sets[first[i] : first[i + 1]] for _, sets, first in sets_of(side, words) for i in range(len(first) - 1)] for side in sides)
                     shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], dtype=np.int64)
                     joined = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], dtype=np.int64) - shared
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shared), pa.array(joined)], names=["a", "b", "shared", "joined"])
@@ -366,8 +477,10 @@ def link_classes(lists: DataFrame, texts: Texts, percent: int) -> DataFrame:
         pairs = met.filter(fitting("n", "led_n", percent) & reachable(tail, F.col("n") + F.col("led_n"), matches, percent)).select(
             F.col("class_id").alias("a"), F.col("leader.class_id").alias("b"), F.col("n").alias("n_a"), F.col("led_n").alias("n_b")
         )
-        near = texts.least_distances(pairs.distinct()).filter(F.col("apart") <= limit)
-        found = stored(texts.verify(near).filter(linked))
+        pairs = stored(pairs.distinct())
+        hot = texts.hot(pairs)
+        near = texts.least_distances(pairs, hot).filter(F.col("apart") <= limit)
+        found = stored(texts.verify(near, hot).filter(linked))
         links = found if links is None else links.unionByName(found)
         labels = merged(labels, found.select("a", "b"))
 
@@ -405,8 +518,10 @@ def link_classes(lists: DataFrame, texts: Texts, percent: int) -> DataFrame:
         )
         .filter(F.col("tokens") >= F.col("matches"))
     )
-    between = stored(texts.least_distances(pairs))
-    links = texts.verify(between.filter(F.col("apart") <= limit)).filter(linked)
+    pairs = stored(pairs)
+    hot = texts.hot(pairs)
+    between = stored(texts.least_distances(pairs, hot))
+    links = texts.verify(between.filter(F.col("apart") <= limit), hot).filter(linked)
     labels = merged(labels, links.select("a", "b"))
 
     # Members of groups whose centres are near enough for a link between them.
@@ -436,7 +551,7 @@ def link_classes(lists: DataFrame, texts: Texts, percent: int) -> DataFrame:
     side = ["centre", "block", "batch", *SIDE]
     right = right.select(*side, "apart").toDF(*side, "apart")  # columns of its own: both sides come from one table
     near = stored(compare_members(left.select(side), right, percent).distinct())
-    return merged(labels, texts.verify(near).filter(linked).select("a", "b"))
+    return merged(labels, texts.verify(near, texts.hot(near)).filter(linked).select("a", "b"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -453,8 +568,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with text_batches(spark):
         surveyed = stored(survey(rows, words))
         found = surveyed.filter("part IS NULL").select("doc_id", "text_key", "n", "class_id")
-        sketch = sketch_of(surveyed)
-        lists = stored(shared_tokens(prefixes(rows, sketch, words, percent), percent))
+        chosen = Prefixes(sketch_of(surveyed), words, percent)
+        shared, bucket_bits = token_map(rows, chosen, found.agg(F.sum("n")).first()[0] or 0)
+        lists = stored(shared_tokens(prefixes(rows, chosen, shared, bucket_bits), percent))
         classes = found.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
         keys = lists.select("class_id").distinct().join(classes, "class_id").select("text_key")
         texts = Texts(rows, keys, words)
