@@ -2,7 +2,9 @@
 
 Document frequencies are counted over all documents, exactly for the words of the templates and in a sketch of fixed
 size for all others. A text is compared line by line, paragraph by paragraph, as a whole, and by every run of as many
-words as a template has, so that a notice is found whatever shares its line. Files without a licence of their own take that of the nearest
+words as a template has, so that a notice is found whatever shares its line. Licences of a family differ in few words
+(a version, "lesser", "noncommercial"), which a cosine hardly sees: a template whose words of this kind are not just
+those of the text is no match, however near it is. Files without a licence of their own take that of the nearest
 directory above them that has a licence file.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.llm.decontam import plain_words
 from corpus_engine.llm.frames import extended, stored
-from corpus_engine.llm.licence_templates import NOTICES
+from corpus_engine.llm.licence_templates import NOTICES, TELLING_APART, VERSIONS
 from corpus_engine.llm.words import blocks
 
 LEAST_COSINE = 0.7
@@ -29,11 +31,18 @@ LICENCE_NAMES = ["license", "licence", "copying", "copyright", "notice", "unlice
 
 @dataclass
 class Templates:
-    """``names`` of the rows of ``unit`` (templates by vocabulary); ``vocabulary`` in rising order with its ``idf``."""
+    """``names`` of the rows of ``unit`` (templates by vocabulary); ``vocabulary`` in rising order with its ``idf``.
+
+    ``mark_of`` is the number of each word among those that tell licences apart, -1 for others; ``wants`` and ``bars``
+    (templates by such words) say which of them a text must have and must not have.
+    """
 
     names: list[str]
     vocabulary: np.ndarray
     counts: np.ndarray
+    mark_of: np.ndarray
+    wants: np.ndarray
+    bars: np.ndarray
     idf: np.ndarray | None = None
     unit: np.ndarray | None = None
     other_idf: np.ndarray | None = None
@@ -45,10 +54,27 @@ class Templates:
         names = [k for k in sorted(notices) for _ in notices[k]]
         _, _, data, offsets = next(blocks(pa.array([t for k in sorted(notices) for t in notices[k]]), 1 << 30))
         words = plain_words(data, offsets)
-        vocabulary, at = np.unique(words.hash, return_inverse=True)
+        marks = sorted({*VERSIONS, *(w for own in TELLING_APART.values() for w in own)})
+        vocabulary, at = np.unique(np.concatenate([words.hash, hashes_of(marks), hashes_of(list(TELLING_APART))]), return_inverse=True)
         counts = np.zeros((len(names), len(vocabulary)))
-        np.add.at(counts, (words.text_of(), at), 1)
-        return cls(names, vocabulary, counts)
+        np.add.at(counts, (words.text_of(), at[: len(words.hash)]), 1)
+        number = {w: np.searchsorted(vocabulary, h) for w, h in zip([*marks, *TELLING_APART], hashes_of([*marks, *TELLING_APART]))}
+        held = {w: counts[:, i] > 0 for w, i in number.items()}
+        mark_of = np.full(len(vocabulary), -1)
+        mark_of[[number[w] for w in marks]] = np.arange(len(marks))
+        has = np.stack([held[w] for w in marks], axis=1)
+        heeds = np.zeros_like(has)
+        for family, own in [*TELLING_APART.items(), (None, VERSIONS)]:
+            of = [marks.index(w) for w in own]
+            heeds[np.ix_(held[family] if family else has[:, of].any(axis=1), of)] = True
+        return cls(names, vocabulary, counts, mark_of, (heeds & has).astype(np.float32), (heeds & ~has).astype(np.float32))
+
+    def agree(self, unit: np.ndarray, at: np.ndarray, units: int) -> np.ndarray:
+        """Units by templates: whether words that tell licences apart agree; ``at`` are the words of each ``unit``."""
+        held = np.zeros((units, self.wants.shape[1]), dtype=np.float32)
+        some = self.mark_of[at] >= 0
+        held[unit[some], self.mark_of[at[some]]] = 1
+        return held @ self.bars.T + (1 - held) @ self.wants.T == 0
 
     def weigh(self, found: np.ndarray, sketch: np.ndarray, n: int, least: float) -> None:
         """Sets the weights from the documents (of ``n``) that hold each word; ``sketch`` has those of other words.
@@ -61,7 +87,7 @@ class Templates:
         self.least = least
         weighed = self.counts * self.idf
         self.unit = weighed / np.linalg.norm(weighed, axis=1, keepdims=True)
-        self.telling = np.ones(len(self.idf), dtype=bool)
+        self.telling = self.counts.any(axis=0)
         joint = np.zeros(len(self.names))
         for w in np.argsort(self.idf, kind="stable"):
             joint = joint + self.unit[:, w] ** 2
@@ -80,6 +106,12 @@ class Templates:
         return np.where(at >= 0, self.idf[at], np.maximum(self.other_idf[one], self.other_idf[two]))
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """The hash of each word."""
+    _, _, data, offsets = next(blocks(pa.array(words), 1 << 30))
+    return plain_words(data, offsets).hash
+
+
 def counters(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The counters of each word in the two rows of the sketch."""
     last = np.uint64(SKETCH - 1)
@@ -131,6 +163,7 @@ def best_of(hashed: np.ndarray, unit_of: np.ndarray, units: int, templates: Temp
     dots = np.zeros((len(some), len(templates.names)))
     np.add.at(dots, row, weight[known, None] * templates.unit[:, at[known]].T)
     dots /= np.maximum(norm[some], 1e-12)[:, None]
+    dots[~templates.agree(row, at[known], len(some))] = 0
     score[some], which[some] = dots.max(axis=1), dots.argmax(axis=1)
     return score, which
 
@@ -194,7 +227,8 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, templates: Templates) -> t
 def scan(docs: DataFrame, text: str = "text", notices: dict[str, list[str]] = NOTICES, least: float = LEAST_COSINE) -> DataFrame:
     """All columns of ``docs`` and ``_licence``, ``_cosine``: the nearest template to any unit of the text and its cosine.
 
-    Below ``least`` the licence is null (the cosine of the nearest stays). Null texts and texts without a word of
+    Below ``least`` the licence is null (the cosine of the nearest stays). Templates that differ from a unit in words that
+    tell licences apart count as cosine 0 there, so a licence that is not known but near to one is null. Null texts and texts without a word of
     the templates have cosine 0. Ties go to lines, then paragraphs, the whole, spans; to the earlier of them, then to the first template by name.
     """
     at, templates = docs.columns.index(text), Templates.of(notices)

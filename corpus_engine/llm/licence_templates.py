@@ -19,17 +19,48 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-2.1": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "BSD-2-Clause": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "BSD-3-Clause": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["Copyright. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
+    "Proprietary": ["All rights reserved. No part of this work may be reproduced, distributed or transmitted in any form or by any means without the prior written permission of the copyright holder.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
+
+#: Elements of the licences of one publisher beside attribution, and the versions of which notices are known with
+#: what follows their number.
+CC_ELEMENTS = {"": "", "-SA": "-ShareAlike", "-ND": "-NoDerivatives", "-NC": "-NonCommercial", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"3.0": "Unported", "4.0": "International"}
+
+for _short, _long in CC_ELEMENTS.items():
+    for _version, _kind in CC_VERSIONS.items():
+        NOTICES[f"CC-BY{_short}-{_version}"] = [
+            f"Licensed under CC BY{_short} {_version}.",
+            f"This work is licensed under a Creative Commons Attribution{_long} {_version} {_kind} License.",
+        ]
+
+_CC_WORDS = ["sa", "nd", "nc", "sharealike", "noderivatives", "noderivs", "noncommercial", "alike", "derivatives", "derivs", "commercial"]
+#: Words that tell licences of a family apart, by a word that templates of the family hold: a template of the family
+#: wins only a text that has just those of them that it has.
+TELLING_APART = {"gnu": ["affero", "lesser"], "cc": _CC_WORDS, "commons": _CC_WORDS, "redistributions": ["neither", "endorse"]}
+#: Parts of version numbers, which count for templates that have one.
+VERSIONS = ["1", "2", "3", "4", "5", "6", "7", "8", "9"]

@@ -278,6 +278,45 @@ def test_licence_notices_among_other_words(spark):
     assert all(abs(got[i]._cosine - 1) < 1e-9 for i in range(4))
 
 
+LONG = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+BSD = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+NEITHER = "Neither the name of Example Inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING'
+#: Notices of licences that differ from their relatives in few words; None where no such licence is known.
+RELATIVES = [
+    (LONG.format("program", ":", "Affero ", ",", "3"), "AGPL-3.0"),
+    (LONG.format("library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1"),
+    (LONG.format("library", ":", "Lesser ", ",", "3"), "LGPL-3.0"),
+    (LONG.format("program", ":", "", ",", "3"), "GPL-3.0"),
+    (LONG.format("program", ";", "", ";", "2"), "GPL-2.0"),
+    (LONG.format("program", ":", "Affero ", ",", "4"), None),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("Licensed under CC BY-NC 2.5.", None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("All rights reserved.", None),
+    (f"{BSD}\n\n{AS_IS}", "BSD-2-Clause"),
+    (f"{BSD}\n\n{NEITHER}\n\n{AS_IS}", "BSD-3-Clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+]
+
+
+def test_licences_are_not_taken_for_their_relatives(spark, documents):
+    """Alone, and among other words on one line; other documents are the background."""
+    other = " ".join(f"plain{i}" for i in range(30))
+    rows = [(-1 - i, text) for i, (notice, _) in enumerate(RELATIVES) for text in (notice, f"{other} {notice} {other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    got = {}
+    for r in licence_scan.scan(docs).filter("doc_id < 0").collect():
+        got.setdefault(-1 - r.doc_id, set()).add(r._licence)
+    wrong = {notice: (got[i], name) for i, (notice, name) in enumerate(RELATIVES) if got[i] != {name}}
+    assert not wrong
+
+
 def test_licence_weights_of_other_words(spark):
     """Words that no template holds weigh by the documents that hold them."""
     import pyarrow as pa
