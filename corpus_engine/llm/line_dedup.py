@@ -1,9 +1,11 @@
 """Lines that repeat across documents, kept only in the first document that holds them.
 
-Two Bloom filters of fixed size are gathered from all documents: one of line hashes seen in one document, one of
-those seen again in another. Only lines that the second filter suspects are shuffled, to be confirmed exactly and
+Two Bloom filters, sized by the number of lines up to a bound, are gathered from all documents: one of line hashes
+seen in one document, one of those seen again in another. Tasks send the places of the bits that they set, and blocks
+of the filters are merged level by level. Only lines that the second filter suspects are shuffled, to be confirmed exactly and
 to choose the first document; the others provably occur in one document. A filter that is small for its data
-suspects more lines, never fewer: it costs shuffle, not results.
+suspects more lines, never fewer: it costs shuffle, not results. At the bound (64 MB a filter) that begins at some
+hundred million different lines.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ from pyspark.sql import functions as F
 from corpus_engine.llm.frames import extended, stored
 
 LEAST_POINTS = 10
-FILTER_BITS = 1 << 25
+#: Bits of a filter for each line, and at least and at most in all.
+LINE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
 BLOCK_BITS = 1 << 19
-FAN_IN = 64
+#: Places that a task holds before it sends them.
+PLACES = 1 << 22
+#: Rows of a block that one merge takes, and levels of merging (for up to two million tasks).
+FAN_IN, LEVELS = 128, 3
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -45,31 +51,53 @@ def places(keys: list[bytes], bits: int) -> np.ndarray:
     return (halves % np.uint64(bits)).astype(np.int64)
 
 
+def filter_bits_for(lines: DataFrame) -> int:
+    """Bits of the filters for all lines of ``text``: a power of two."""
+    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n = lines.agg(F.sum(breaks + 1)).first()[0] or 1
+    return min(max(1 << (LINE_BITS * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def build_filter(lines: DataFrame, least: int, bits: int) -> np.ndarray:
     """Packed filter of the hashes that two documents hold; lines: doc_id, text."""
     block = min(BLOCK_BITS, bits)
 
+    def send(held: list[np.ndarray], task: int) -> pa.RecordBatch:
+        at, times = np.unique(np.concatenate(held), return_counts=True)
+        part, first = np.unique(at // block, return_index=True)
+        once = [x.astype(np.uint32).tobytes() for x in np.split(at % block, first[1:])]
+        again = at[times > 1]
+        ends = np.searchsorted(again, (part + 1) * block)
+        twice = [x.astype(np.uint32).tobytes() for x in np.split(again % block, ends[:-1])]
+        kinds = {"part": pa.int64(), "task": pa.int64(), "once": pa.binary(), "twice": pa.binary()}
+        rows = {"part": part, "task": [task // FAN_IN] * len(part), "once": once, "twice": twice}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in rows.items()})
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        task, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             for text in batch.column(1):
                 own = [k for k in set(line_keys(text.as_py(), least)) if k]
                 if own:
-                    at = np.unique(places(own, bits))
-                    twice[at[once[at]]] = True
-                    once[at] = True
-        task = TaskContext.get().partitionId()
-        for i in range(bits // block):
-            part = slice(i * block, (i + 1) * block)
-            if once[part].any():
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([i], pa.int64()),
-                        "task": pa.array([task // FAN_IN], pa.int64()),
-                        "once": pa.array([np.packbits(once[part]).tobytes()], pa.binary()),
-                        "twice": pa.array([np.packbits(twice[part]).tobytes()], pa.binary()),
-                    }
-                )
+                    held.append(np.unique(places(own, bits)))
+                    n += len(held[-1])
+                if n >= PLACES:
+                    yield send(held, task)
+                    held, n = [], 0
+        if n:
+            yield send(held, task)
+
+    def merged(rows: pd.DataFrame, once: np.ndarray, twice: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"part": [rows.part[0]], "task": [rows.task[0] // FAN_IN], "once": [once.tobytes()], "twice": [twice.tobytes()]})
+
+    def merge_places(rows: pd.DataFrame) -> pd.DataFrame:
+        once, twice = np.zeros(block, dtype=bool), np.zeros(block, dtype=bool)
+        for a, b in zip(rows.once, rows.twice, strict=True):
+            at = np.frombuffer(a, np.uint32)
+            twice[at[once[at]]] = True
+            twice[np.frombuffer(b, np.uint32)] = True
+            once[at] = True
+        return merged(rows, np.packbits(once), np.packbits(twice))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         once = np.zeros(block // 8, dtype=np.uint8)
@@ -78,12 +106,14 @@ def build_filter(lines: DataFrame, least: int, bits: int) -> np.ndarray:
             seen = np.frombuffer(a, np.uint8)
             twice |= (once & seen) | np.frombuffer(b, np.uint8)
             once |= seen
-        return pd.DataFrame({"part": [rows.part[0]], "task": [rows.task[0] // FAN_IN], "once": [once.tobytes()], "twice": [twice.tobytes()]})
+        return merged(rows, once, twice)
 
     schema = "part long, task long, once binary, twice binary"
-    filters = lines.mapInArrow(gather, schema).groupBy("part", "task").applyInPandas(merge, schema)
-    # A second level joins what the groups of FAN_IN tasks left; its groups are FAN_IN times smaller.
-    filters = filters.groupBy("part").applyInPandas(merge, schema).select("part", "twice")
+    filters = lines.mapInArrow(gather, schema).groupBy("part", "task").applyInPandas(merge_places, schema)
+    for level in range(1, LEVELS):  # each joins what FAN_IN groups left; the last takes all that are left of a block
+        keys = ["part", "task"] if level < LEVELS - 1 else ["part"]
+        filters = filters.groupBy(*keys).applyInPandas(merge, schema)
+    filters = filters.select("part", "twice")
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in filters.toLocalIterator():  # bits / 8 bytes in all
         out[row.part * block // 8 : (row.part + 1) * block // 8] = np.frombuffer(row.twice, np.uint8)
@@ -112,18 +142,18 @@ def suspected(lines: DataFrame, seen_twice: np.ndarray, least: int) -> DataFrame
     return lines.mapInArrow(test, "doc_id long, key binary")
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_POINTS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, keys): of each document the hashes of the lines that it loses."""
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_POINTS, filter_bits: int | None = None) -> DataFrame:
+    """(doc_id, keys): of each document the hashes of the lines that it loses; ``filter_bits`` follow the lines if not given."""
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # Both uses read the suspects anew from the documents: cheaper than keeping them, and nothing is lost with an executor.
-    maybe = suspected(lines, build_filter(lines, least, filter_bits), least)
+    maybe = suspected(lines, build_filter(lines, least, filter_bits or filter_bits_for(lines)), least)
     first = maybe.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     # Stored, so that a hot line's rows needn't meet the task that grouped it and a skewed join can be split.
     later = maybe.join(stored(first.select("key", "first")), "key").filter("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_POINTS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_POINTS, filter_bits: int | None = None) -> DataFrame:
     """All columns of ``docs`` with the lines dropped from ``text``, and ``_n_lines``, ``_n_dropped``.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z in lower case. A key of at least ``least``
