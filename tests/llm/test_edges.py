@@ -128,6 +128,22 @@ def test_line_dedup_does_not_hang_on_the_filter(spark, documents):
     assert small.exceptAll(line_dedup.dedup_lines(documents).select("doc_id", "text")).count() == 0
 
 
+def test_line_filter_holds_what_two_documents_hold(spark, documents, monkeypatch):
+    """Bit by bit, with few places held at a time and merges of two rows."""
+    monkeypatch.setattr(line_dedup, "PLACES", 50)
+    monkeypatch.setattr(line_dedup, "FAN_IN", 2)
+    bits, times = 1 << 21, np.zeros(1 << 21, dtype=int)
+    rows = documents.select("doc_id", "text")
+    for r in rows.collect():
+        own = [k for k in set(line_dedup.line_keys(r.text, 10)) if k]
+        if own:
+            times[np.unique(line_dedup.places(own, bits))] += 1
+    assert (times > 1).any()
+    assert np.array_equal(line_dedup.build_filter(rows.repartition(7), 10, bits), np.packbits(times > 1))
+    n = sum((r.text or "").count("\n") + 1 for r in rows.collect())
+    assert line_dedup.filter_bits_for(rows) >= line_dedup.LINE_BITS * n
+
+
 def test_mixing_edges(spark):
     out = mixing.mix(docs_of(spark, ROWS + ROWS[:3]))
     rows = out.collect()
