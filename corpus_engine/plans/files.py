@@ -254,9 +254,7 @@ INGEST_SQL = f"""
 )
 def r1(spark, d):
     table, checkpoint = shared_folder(spark), shared_folder(spark)
-    schema = T.load(spark, d, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(d)
-    arriving = arriving.select(F.col("doc_id").alias("file_id"), "text")
+    arriving = T.load_stream(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
     ingest.ingest(arriving, table, checkpoint).awaitTermination()
     return spark.read.parquet(table).select("file_id", "chunk_index", "text", "language")
 
@@ -276,7 +274,5 @@ def r1_batch(spark, d):
 )
 def r2(spark, d):
     table, checkpoint = shared_folder(spark), shared_folder(spark)
-    schema = T.load(spark, d, "conversations").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet").parquet(d)
-    turns.keep_latest(turns.recent_turns(arriving), table, checkpoint).awaitTermination()
+    turns.keep_latest(turns.recent_turns(T.load_stream(spark, d, "conversations")), table, checkpoint).awaitTermination()
     return turns.latest(spark.read.parquet(table))

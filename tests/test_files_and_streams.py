@@ -12,6 +12,7 @@ from corpus_engine.operators import conversations as V
 from corpus_engine.operators import inference as I
 from corpus_engine.operators import ingest as G
 from corpus_engine.operators.chunks import chunk_files
+from corpus_engine.plans.registry import QUERIES
 from corpus_engine.sources import readers as R
 from corpus_engine.sources import writers as W
 from corpus_engine.streaming import ingest, turns
@@ -207,3 +208,25 @@ def test_long_cells_are_read_and_unreadable_files_kept(spark, tmp_path):
     assert [r.file_id for r in spark.read.parquet(table).collect()] == [1]
     kept = spark.read.parquet(ingest.rejected_of(table)).select(rejected.columns).collect()
     assert list(map(tuple, kept)) == [(2, "b.json", "application/json", "records", "{")] == list(map(tuple, rejected.collect()))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, parts):
+    docs = [(i, f"texto número {i} de la casa", "es") for i in range(7)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(parts)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    heard = [(i % 3, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(9)]
+    frame = spark.createDataFrame(heard, "conv_id long, turn long, role string, text string").repartition(parts)
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted((r.file_id, r.text) for r in QUERIES["r1_incremental_ingest"](spark, str(tmp_path)).collect()) == [(i, t) for i, t, _ in docs]
+    assert sorted((r.conv_id, r.n_turns) for r in QUERIES["r2_recent_turns"](spark, str(tmp_path)).collect()) == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_streams_read_tables_that_are_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": ["uno de la casa", "dos"]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": [3], "text": ["tres"]}), tmp_path / "documents_more.parquet")
+    found = QUERIES["r1_incremental_ingest"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_id, r.text) for r in found) == [(1, "uno de la casa"), (2, "dos"), (3, "tres")]
