@@ -168,12 +168,34 @@ def cut_long(pieces: list[str], size: int) -> list[str]:
     return [c for p in pieces for c in (sentence_runs(p, size) if len(p) > 1.5 * size else [p])]
 
 
+#: About so many characters of texts are worked on at once in Python, one text at least.
+PART_CHARS = 1 << 20
+
+
+def parts_of(texts: pd.Series, most: int = PART_CHARS) -> Iterator[slice]:
+    """Runs of rows of a batch whose texts have about ``most`` characters together; one empty run of an empty batch."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        size = 256 + (len(t) if isinstance(t, str) else 0)  # a row takes room however short its text
+        if i > start and held + size > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    yield slice(start, len(texts))
+
+
 def cut_column(cut: Callable[[str, int, int], list[str]], text: Column, size: Column, overlap: Column) -> Column:
-    """``cut(text, size, overlap)`` of every row, in Arrow batches; a null text has no pieces."""
+    """``cut(text, size, overlap)`` of every row, in Arrow batches; a null text has no pieces.
+
+    Pieces are handed on by a part of a batch, so that Python never holds those of a whole one.
+    """
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
-        return pd.Series([cut(t or "", int(s), int(o)) for t, s, o in zip(texts, sizes, overlaps)], dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sizes, overlaps in batches:
+            for part in parts_of(texts):
+                rows = zip(texts.iloc[part], sizes.iloc[part], overlaps.iloc[part])
+                yield pd.Series([cut(t or "", int(s), int(o)) for t, s, o in rows], dtype=object)
 
     return run(text, size, overlap)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_engine.functions.chunking import parts_of
 from corpus_engine.functions.text import NO_VALUE, bind, clean_value, label
 from corpus_engine.session import cut_lineage
 
@@ -130,13 +131,18 @@ def found_leaves(text: str | None) -> list[tuple[str, str, str, str | None]] | N
 
 
 def text_leaves(text: Column) -> Column:
-    """Leaves of a JSON text of any shape, in the order of its keys, numbers as written; null if it is no JSON."""
+    """Leaves of a JSON text of any shape, in the order of its keys, numbers as written; null if it is no JSON.
+
+    Leaves are handed on by a part of an Arrow batch, so that Python never holds those of a whole one.
+    """
 
     @F.pandas_udf(f"array<{LEAF}>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("path", "key", "type", "value")
-        rows = (found_leaves(t) for t in texts)
-        return pd.Series([None if r is None else [dict(zip(names, x)) for x in r] for r in rows], dtype=object)
+        for texts in batches:
+            for part in parts_of(texts):
+                rows = (found_leaves(t) for t in texts.iloc[part])
+                yield pd.Series([None if r is None else [dict(zip(names, x)) for x in r] for r in rows], dtype=object)
 
     return run(text)
 

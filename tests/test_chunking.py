@@ -1,10 +1,12 @@
 """Chunks: coverage, sizes, order."""
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import chunking as H
+from corpus_engine.functions import records as R
 
 TEXTS = ["", "a", "x" * 1000, "x" * 1001, "y" * 1800, "z" * 1801, "palabra " * 700, "ñandú. ¡Sí! " * 300]
 
@@ -68,3 +70,19 @@ def test_adaptive_pieces_match_the_helper(spark):
     assert {r["id"] for r in rows} == {1, 2, 3, 4, 5, 6, 7}
     kept = H.adaptive_chunks(df.filter("id = 1"), "text", "lang", ["id"], legacy=True)
     assert kept.count() == 0
+
+
+def test_pieces_of_a_batch_are_handed_on_in_parts(spark):
+    texts = pd.Series(["a" * 600, None, "", "b" * 5000, "c" * 10, "d" * 10])
+    parts = list(H.parts_of(texts, 2000))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(6))
+    assert len(parts) == 3 and parts[1] == slice(3, 4)  # a long text alone
+    assert list(H.parts_of(pd.Series([], dtype=object))) == [slice(0, 0)]
+
+
+def test_chunks_of_many_parts_stay_with_their_row(spark):
+    docs = spark.range(900).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("x"), F.col("id"), F.lit(" "), F.repeat(F.lit("una palabra. "), 300))).alias("t")).coalesce(1)
+    cut = docs.select("id", "t", H.separator_chunks(F.col("t"), F.lit(400), F.lit(0), H.PLAIN_SEPARATORS).alias("p"), R.text_leaves(F.concat(F.lit('{"k": "'), "t", F.lit('"}'))).alias("leaf"))
+    for row in cut.collect():
+        assert "".join(row.p).replace(" ", "") == (row.t or "").replace(" ", "")
+        assert [e.value for e in row.leaf or []] == ([row.t] if row.t else [])
