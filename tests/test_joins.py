@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from corpus_engine.operators import joins as J
 from corpus_engine.operators import retrieval as R
+from corpus_engine.tables import order_docs
+from tests.conftest import SMALL
 
 LEFT = "k long, a long"
 RIGHT = "k long, b long"
@@ -65,3 +67,17 @@ def test_scoped_search_is_the_same_when_split(spark, monkeypatch):
     monkeypatch.setattr(R, "spread_join", lambda left, right, on: plain(left, right, on, 3))
     got = R.search(questions, scope, store, k=5).select("qid", "file_id", "chunk_index", "rank").collect()
     assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def joins_over(plan, column):
+    """Joins that the rows of the table holding ``column`` pass in a logical plan; None if no such table is below."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    if not below:
+        return 0 if column in plan.output().mkString(",") else None
+    found = [n for n in (joins_over(c, column) for c in below) if n is not None]
+    return max(found) + (plan.nodeName() == "Join") if found else None
+
+
+def test_order_lines_pass_two_joins(spark):
+    docs = order_docs(spark, SMALL)
+    assert joins_over(docs._jdf.queryExecution().analyzed(), "l_suppkey") == 2
