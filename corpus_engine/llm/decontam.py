@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.frames import stored
+from corpus_engine.llm.frames import stored, text_batches
 from corpus_engine.llm.words import BY_KIND, WORD, Words, blocks, grams, words_of
 
 SEED_WORDS = 3
@@ -93,19 +93,21 @@ class Map:
 def windows_of(docs: DataFrame, seeds: Map, size: int, reach: int) -> DataFrame:
     """``doc_id, row_key, start, words, seeds`` of the places of each document that hold suspected seeds.
 
-    Seeds at most ``reach`` words apart share a window, which reaches as far beyond them.
+    Seeds at most ``reach`` words apart share a window, which reaches as far beyond them. Windows are handed on block
+    by block, so a task holds those of a block of texts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            rows, starts, held, own = [], [], [], []
             for row, _, data, offsets in blocks(batch.column(2)):
                 words = plain_words(data, offsets)
                 hashed, whole = grams(words, size)
                 hit = np.flatnonzero(whole)[sent.value.maybe(hashed[whole])]
                 if not len(hit):
                     continue
+                rows, starts, held, own = [], [], [], []
                 text = words.text_of()[hit]
                 cuts = np.flatnonzero((np.diff(hit) > reach) | (np.diff(text) > 0)) + 1
                 for part in np.split(np.arange(len(hit)), cuts):
@@ -116,11 +118,11 @@ def windows_of(docs: DataFrame, seeds: Map, size: int, reach: int) -> DataFrame:
                     starts.append(a - words.first[t])
                     held.append(words.hash[a:b].view(np.int64))
                     own.append(np.unique(hashed[hit[part]]).view(np.int64))
-            kind, at = pa.list_(pa.int64()), pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(held, kind), pa.array(own, kind)],
-                names=["doc_id", "row_key", "start", "words", "seeds"],
-            )
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(held, kind), pa.array(own, kind)],
+                    names=["doc_id", "row_key", "start", "words", "seeds"],
+                )
 
     return docs.mapInArrow(run, "doc_id long, row_key long, start long, words array<long>, seeds array<long>")
 
@@ -197,19 +199,20 @@ def copies(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.lower(F.col(text)).alias("text")
     )
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).filter("text IS NOT NULL")
-    known = stored(item_words(tests, size))
-    every = stored(known.select("item_id", F.explode("seeds").alias("seed")))
-    n, longest = every.count(), known.agg(F.max(F.size("words"))).first()[0] or size
-    # m matches and e other steps score 2m - e >= 2 * least * l, with m <= l words of the item; they span m + e words at most.
-    reach = int(np.ceil((3 - 2 * least) * longest))
-    found = stored(windows_of(rows, Map.of(every, n), size, reach))
-    met = found.select("doc_id", "row_key", "start", F.explode("seeds").alias("seed")).join(every, "seed")
-    met = met.select("doc_id", "row_key", "start", "item_id").distinct()
-    same = F.col("row_key").eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start"))
-    windows = found.select(F.col("row_key").alias("_key"), F.col("start").alias("_start"), "words").dropDuplicates(["_key", "_start"])
-    whole = known.select(F.col("item_id").alias("_item"), F.col("words").alias("item"))
-    pairs = met.join(windows, same).join(whole, F.col("item_id") == F.col("_item"))
-    scored = alignments(pairs, least)
+    with text_batches(docs.sparkSession):
+        known = stored(item_words(tests, size))
+        every = stored(known.select("item_id", F.explode("seeds").alias("seed")))
+        n, longest = every.count(), known.agg(F.max(F.size("words"))).first()[0] or size
+        # m matches and e other steps score 2m - e >= 2 * least * l, with m <= l words of the item; they span m + e words at most.
+        reach = int(np.ceil((3 - 2 * least) * longest))
+        found = stored(windows_of(rows, Map.of(every, n), size, reach))
+        met = found.select("doc_id", "row_key", "start", F.explode("seeds").alias("seed")).join(every, "seed")
+        met = met.select("doc_id", "row_key", "start", "item_id").distinct()
+        same = F.col("row_key").eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start"))
+        windows = found.select(F.col("row_key").alias("_key"), F.col("start").alias("_start"), "words").dropDuplicates(["_key", "_start"])
+        whole = known.select(F.col("item_id").alias("_item"), F.col("words").alias("item"))
+        pairs = met.join(windows, same).join(whole, F.col("item_id") == F.col("_item"))
+        scored = stored(alignments(pairs, least))
     best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "last_word", "matched")).alias("best")
     out = scored.groupBy("doc_id", "row_key", "item_id").agg(best)
     return out.select(

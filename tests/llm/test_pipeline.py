@@ -1,6 +1,9 @@
 """The stages of the pipeline, each judged on its own input."""
 
+import pytest
+
 import corpus_pipeline
+from corpus_engine.llm import frames
 from corpus_engine.llm.frames import stored
 from tests.conftest import SMALL
 from tests.llm.test_edges import ROWS
@@ -37,3 +40,21 @@ def test_odd_rows_and_empty_tables(spark):
             assert out.columns == docs.columns and out.count() <= docs.count()
     kept = corpus_pipeline.keep_one_of_near_copies(spark, rows, SMALL).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 6, 8, 9, 10]
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "test items"])
+def test_texts_reach_python_in_small_batches(spark, documents, monkeypatch, name):
+    """Every step that hands texts to Python is written inside the stage, while batches are small."""
+    key, write, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", frames.cut_lineage, []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df):
+        if "MapInArrow" in plan(df):
+            seen.append(int(spark.conf.get(key)))
+        return write(df)
+
+    monkeypatch.setattr(frames, "cut_lineage", watched)
+    before = spark.conf.get(key)
+    out = dict(corpus_pipeline.STAGES)[name](spark, documents, SMALL)
+    assert seen and max(seen) <= 500 < int(before) == int(spark.conf.get(key))
+    assert "MapInArrow" not in plan(out)
