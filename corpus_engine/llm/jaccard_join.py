@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -269,6 +269,15 @@ def shared_tokens(tokens: DataFrame, percent: int) -> DataFrame:
     return rows.filter(last & kept).drop("after", "before")
 
 
+def listed(tokens: DataFrame, percent: int, name: str) -> DataFrame:
+    """``shared_tokens`` as table ``name``, bucketed by what names a list, so that looking at whole lists moves no row."""
+    spark = tokens.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = shared_tokens(tokens.repartition(buckets, "token", "split"), percent)
+    rows.write.bucketBy(buckets, "token", "split").saveAsTable(name)
+    return spark.table(name)
+
+
 def signature(sets: np.ndarray) -> bytes:
     """Parity of the shingles on each of at least two bits a shingle; a power of two of them, so that any two fold."""
     bits = max(64, 1 << (2 * len(sets) - 1).bit_length())
@@ -453,25 +462,34 @@ def with_roots(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
 
 
-def link_classes(lists: DataFrame, texts: Texts, percent: int) -> DataFrame:
-    """``id, root`` of the classes that are linked with others."""
-    spark = texts.spark
+def led(rows: DataFrame, chance: list[Column]) -> DataFrame:
+    """Rows of lists with the ``leader`` of each, the first by ``chance``, and the first and last root (``low, high``)."""
+    own = ["class_id", "n", "root", "place", "matches"]
+    first = F.min(F.struct(*[c.alias(f"at{i}") for i, c in enumerate(chance)], *own))
+    whole = Window.partitionBy("token", "split")
+    rows = rows.withColumns({"leader": first.over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole)})
+    return rows.withColumn("leader", F.struct(*[F.col(f"leader.{c}") for c in own]))
+
+
+def link_classes(lists: DataFrame, members: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """``id, root`` of the classes that are linked with others; ``members`` (``class_id, n, matches, tail``) are those of
+    ``lists``, with the longest rest of a set from one of its tokens on."""
     linked = F.col("shared") * 100 >= F.col("joined") * percent
     limit = 1 - percent / 100 + 1e-9
-    labels: DataFrame = spark.createDataFrame([], "id long, root long")
+    labels: DataFrame | None = None
     links: DataFrame | None = None
     for turn in range(LEADER_ROUNDS):
-        rows = with_roots(lists, labels)
-        if turn:
-            sizes = labels.groupBy("root").agg((-F.count(F.lit(1))).alias("fewer"))
-            rows = rows.join(sizes, "root", "left").withColumn("fewer", F.coalesce("fewer", F.lit(-1)))
         # At first one leader for many lists. Then each list has its own, of its largest component: the others, which
-        # are fewer, each meet many of its members.
-        chance = [F.col("fewer"), F.xxhash64(F.lit(turn), "class_id", "token")] if turn else [F.xxhash64(F.lit(turn), "class_id")]
-        place = F.struct(*[c.alias(f"at{i}") for i, c in enumerate(chance)], F.col("class_id"), F.col("n"), F.col("root"), F.col("place"), F.col("matches"))
-        leaders = rows.groupBy("token", "split").agg(F.min(place).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
-        leaders = stored(leaders.filter("low <> high").select("token", "split", "leader"))
-        met = rows.join(leaders, ["token", "split"]).filter(F.col("root") != F.col("leader.root")).withColumn("led_n", F.col("leader.n"))
+        # are fewer, each meet many of its members. Only lists that hold different components are looked at again;
+        # the parts of a long one stay, as they are compared with each other in the end.
+        if labels is None:
+            rows = led(lists.withColumn("root", F.col("class_id")), [F.xxhash64(F.lit(turn), "class_id")])
+        else:
+            sizes = labels.groupBy("root").agg((-F.count(F.lit(1))).alias("fewer"))
+            rows = with_roots(lists, labels.join(sizes, "root")).withColumn("fewer", F.coalesce("fewer", F.lit(-1)))
+            rows = led(rows, [F.col("fewer"), F.xxhash64(F.lit(turn), "class_id", "token")])
+            lists = rows = stored(rows.filter("low <> high OR split >= 0").drop("fewer", "low", "high"))
+        met = rows.filter(F.col("root") != F.col("leader.root")).withColumn("led_n", F.col("leader.n"))
         tail = F.least(F.col("n") - F.col("place"), F.col("led_n") - F.col("leader.place"))
         matches = F.least(F.col("matches"), F.col("leader.matches"))
         pairs = met.filter(fitting("n", "led_n", percent) & reachable(tail, F.col("n") + F.col("led_n"), matches, percent)).select(
@@ -489,19 +507,19 @@ def link_classes(lists: DataFrame, texts: Texts, percent: int) -> DataFrame:
     distance = 1 - F.col("shared") / F.col("joined")
     centres = links.groupBy("a").agg(F.min(F.struct(distance.alias("away"), F.col("b").alias("centre"))).alias("c"))
     centres = centres.select(F.col("a").alias("class_id"), "c.centre", "c.away")
-    tail = F.max(F.col("n") - F.col("place")).alias("tail")
-    members = lists.groupBy("class_id").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), tail)
     members = with_roots(members, labels).join(centres, "class_id", "left")
     own_centre = [F.coalesce("centre", "class_id").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")]
     members = stored(members.select("class_id", "n", "matches", "tail", "root", *own_centre))
     group = members.groupBy("centre").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("size"))
-    rows = lists.join(members.select("class_id", "root", "centre"), "class_id")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
+    # A group has one root, so what a list holds is known from its groups.
+    rows = lists.drop("root").join(members.select("class_id", "root", "centre"), "class_id")
     held = rows.groupBy("token", "centre").agg(
         F.min("root").alias("root"), F.min("matches").alias("matches"), F.min("n").alias("least"), F.max("n").alias("most"),
-        tail, F.max("matches").alias("most_matches"),
+        F.max(F.col("n") - F.col("place")).alias("tail"), F.max("matches").alias("most_matches"),
     )
+    held = stored(held)
+    mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+    held = held.join(mixed, "token", "left_semi")
     held = stored(held.join(members.select(F.col("class_id").alias("centre"), F.col("n").alias("centre_n")), "centre"))
     columns = ("centre", "centre_n", "root", "matches", "most_matches", "least", "most", "tail")
     one = held.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -570,14 +588,19 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = surveyed.filter("part IS NULL").select("doc_id", "text_key", "n", "class_id")
         chosen = Prefixes(sketch_of(surveyed), words, percent)
         shared, bucket_bits = token_map(rows, chosen, found.agg(F.sum("n")).first()[0] or 0)
-        lists = stored(shared_tokens(prefixes(rows, chosen, shared, bucket_bits), percent))
-        classes = found.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
-        keys = lists.select("class_id").distinct().join(classes, "class_id").select("text_key")
-        texts = Texts(rows, keys, words)
+        name = f"shingle_lists_{uuid.uuid4().hex}"
         try:
-            labels = link_classes(lists, texts, percent)
+            lists = listed(prefixes(rows, chosen, shared, bucket_bits), percent, name)
+            tail = F.max(F.col("n") - F.col("place")).alias("tail")
+            members = stored(lists.groupBy("class_id").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), tail))
+            classes = found.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"))
+            texts = Texts(rows, members.select("class_id").join(classes, "class_id").select("text_key"), words)
+            try:
+                labels = link_classes(lists, members, texts, percent)
+            finally:
+                texts.drop()
         finally:
-            texts.drop()
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     named = with_roots(classes.select("class_id", "first"), labels)
     roots = named.join(labels.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(roots, "root", "left").select(F.col("class_id").alias("_class"), F.coalesce("least", "first").alias("component_id"))

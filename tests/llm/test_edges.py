@@ -100,6 +100,22 @@ def test_matches_and_prefixes():
     assert jaccard_join.choose_matches(np.array([3]), 0) == 1
 
 
+def test_jaccard_looks_at_whole_lists_without_moving_rows(spark):
+    """The lists are dealt by token and split once, when they are written."""
+    name, key = "lists_of_a_test", "spark.sql.autoBroadcastJoinThreshold"
+    tokens = spark.createDataFrame([(t, -1, c, 20, 1, t % 5) for t in range(40) for c in range(t % 4)], "token long, split long, class_id long, n long, matches long, place long")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        lists = jaccard_join.listed(tokens, 75, name)
+        rows = jaccard_join.led(lists.withColumn("root", F.col("class_id")), [F.xxhash64("class_id")]).filter("low <> high")
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert {r.token: (r.low, r.high) for r in rows.collect()} == {t: (0, t % 4 - 1) for t in range(40) if t % 4 > 1}
+    finally:
+        spark.conf.set(key, before)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_line_dedup_edges(spark):
     rows = [
         (2, "  Same Line here \nshort\nown line of two", "en", "a"),
