@@ -9,6 +9,8 @@ from corpus_engine import tables
 from corpus_engine.functions import records as R
 from corpus_engine.functions import text as X
 from corpus_engine.operators import records as K
+from corpus_engine.plans.registry import QUERIES
+from tests.conftest import SMALL
 
 
 def variants(spark, records):
@@ -130,3 +132,10 @@ def test_pattern_passes_over_places_that_begin_no_trigram(spark):
     got = rows.select(X.resembles_any(F.col("t"), terms).alias("a"), (likes[0] | likes[1] | likes[2]).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] and 3 < sum(r.a for r in got) < len(texts)
     assert X.necessary_pattern(["-"], 0.3) == ""
+
+
+def test_records_are_parsed_once_for_their_keys(spark):
+    for name in ("x2_keys_and_types", "a3_flat_catalog"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        # A filter on the number of entries would hold the parser once for every leaf.
+        assert plan.count("from_json") == 1, name
